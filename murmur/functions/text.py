@@ -48,6 +48,11 @@ def unescape_nfkc(values: pd.Series) -> pd.Series:
     return values.map(_fold, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def unescape_only(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: html.unescape(v) if "&" in v else v, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v.isascii() else unicodedata.normalize("NFKC", v), na_action="ignore")

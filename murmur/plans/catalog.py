@@ -1,4 +1,4 @@
 """Importing the plan modules fills the registry."""
 
-from murmur.plans import heat  # noqa: F401
+from murmur.plans import heat, sentiment, text  # noqa: F401
 from murmur.plans.registry import ORACLE, QUERIES  # noqa: F401
