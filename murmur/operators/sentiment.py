@@ -183,10 +183,11 @@ def from_probability(rows: DataFrame, probability: str = "probability", cfg: Sen
 
 
 def eligible_articles(articles: DataFrame) -> DataFrame:
-    """Articles worth scoring: clean, non-blank, weighted, neither advertisement nor hot-list entry."""
+    """Articles worth scoring: clean, with a title or body, weighted, neither advertisement nor hot-list entry."""
     return articles.where(
-        (F.col("clean_status") == "success") & (F.trim("clean_content") != "") & (F.col("nlp_weight") > 0)
-        & ~F.coalesce("is_advertisement", F.lit(False)) & (F.col("source_type") != "hotlist")
+        (F.col("clean_status") == "success") & (F.col("nlp_weight") > 0)
+        & (F.trim(F.concat(F.coalesce("title", F.lit("")), F.coalesce("clean_content", F.lit("")))) != "")
+        & ~F.coalesce("is_advertisement", F.lit(False)) & (F.coalesce("source_type", F.lit("")) != "hotlist")
     )
 
 
