@@ -36,26 +36,54 @@ LOGIN_WORD = "sina visitor system|登录后查看|请先登录"
 BLOCKED_WORD = "访问异常|访问受限|403 forbidden"
 
 
-def _fold(value: str | None) -> str | None:
-    if value is None or (value.isascii() and "&" not in value):
-        return value
-    return unicodedata.normalize("NFKC", html.unescape(value))
+# Characters that Unicode compatibility folding leaves alone wherever they stand. Text made of
+# these only skips the Python step; the list may be short, it must not be wrong.
+STABLE = (
+    "\\x00-\\x9f\\xa1-\\xa7\\xa9\\xab-\\xae\\xb0\\xb1\\xb6\\xb7\\xbb\\xbf-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e"
+    "\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u3001-\\u301c\\u3041-\\u3096\\u30a1-\\u30fe\\u4e00-\\u9fff"
+)
+_ENTITIES = {"lt": "<", "gt": ">", "quot": "\"", "apos": "'", "#39": "'", "copy": "©", "middot": "·", "amp": "&"}
 
 
 @F.pandas_udf(T.StringType())
-def unescape_nfkc(values: pd.Series) -> pd.Series:
-    """HTML entities, then NFKC: the one text step without a built-in. Plain ASCII passes untouched."""
-    return values.map(_fold, na_action="ignore")
+def _py_nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def unescape_only(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: html.unescape(v) if "&" in v else v, na_action="ignore")
+def _py_unescape(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v.isascii() else unicodedata.normalize("NFKC", v), na_action="ignore")
+def _py_unescape_nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore")
+
+
+def _common_entities(text: Column) -> Column:
+    for name, char in _ENTITIES.items():  # the ampersand comes last so that it cannot form a new entity
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+_KNOWN = "&(?:" + "|".join(_ENTITIES) + ");"
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility folding, the one text step without a built-in; only rows that may change visit Python."""
+    return F.coalesce(_py_nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
+
+
+def unescape_only(text: Column) -> Column:
+    """HTML entities; rows with none but the commonest ones stay in the JVM."""
+    rare = F.regexp_replace(text, _KNOWN, "").rlike("&[#A-Za-z]")
+    return F.coalesce(_py_unescape(F.when(rare, text)), _common_entities(text))
+
+
+def unescape_nfkc(text: Column) -> Column:
+    """Both steps at once; the common entities stand for characters that folding leaves alone."""
+    rare = F.regexp_replace(text, _KNOWN, "").rlike(f"&[#A-Za-z]|[^{STABLE}]")
+    return F.coalesce(_py_unescape_nfkc(F.when(rare, text)), _common_entities(text))
 
 
 def strip_invisible(text: Column) -> Column:
@@ -95,20 +123,9 @@ def trimmed_lines(text: Column, blanks: str = "(?U)[ \\t\\u3000]+") -> Column:
     return F.filter(lines, lambda line: line != "")
 
 
-def clean_struct(text: Column) -> Column:
-    """Cleaned body with ordered distinct mentions, topics, links, emotions and the boilerplate lines removed."""
-    base = F.regexp_replace(unescape_nfkc(strip_html(text)), "\r\n|\r", "\n")
-    base = strip_invisible(base)
-    return F.struct(
-        base.alias("text"),
-        *[
-            F.array_distinct(F.regexp_extract_all(base, F.lit(pattern), F.lit(0))).alias(name)
-            for name, pattern in (
-                ("mentions", MENTION_PATTERN), ("topics", TOPIC_PATTERN),
-                ("urls", URL_PATTERN), ("emotions", EMOTION_PATTERN),
-            )
-        ],
-    )
+def found_in(text: Column, pattern: str) -> Column:
+    """Ordered distinct matches."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def kept_text(lines: Column) -> Column:
@@ -267,18 +284,16 @@ def term_type(term: Column, entities: Column | None = None) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Single Han characters, latin words and numbers, lower case, in order."""
-    found = F.regexp_extract_all(
-        nfkc(F.coalesce(text, F.lit(""))), F.lit("[\\u4e00-\\u9fff]|[A-Za-z]+|\\d+(?:\\.\\d+)?"), F.lit(0)
-    )
-    return F.transform(found, F.lower)
+    """Single Han characters, latin words and numbers of folded text, lower case, in order."""
+    pattern = "[\\u4e00-\\u9fff]|[A-Za-z]+|\\d+(?:\\.\\d+)?"
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), F.lower)
 
 
 def segment_struct(text: Column, topics: Column, mentions: Column, stopwords: tuple[str, ...] = ()) -> Column:
     """Three token lists: all, without stop words, and without stop words but keeping sentiment terms."""
     base = tokens(text)
-    with_topics = F.concat(base, F.array_except(topics, base))
-    everything = F.concat(with_topics, F.array_except(mentions, with_topics))
+    extra = F.array_distinct(F.concat(topics, mentions))  # tags and mentions carry # or @, which tokens never do
+    everything = F.concat(base, extra)
     dropped = sorted({*STOPWORDS, *stopwords})
     kept = F.filter(everything, lambda t: ~t.isin(*dropped))
     for_sentiment = F.filter(everything, lambda t: ~t.isin(*dropped) | t.isin(*SENTIMENT_TERMS))

@@ -79,10 +79,8 @@ def daily_run(
     )
     attempt = F.lit(1)
     if previous_runs is not None:
-        header = header.join(
-            F.broadcast(previous_runs.where(F.col("run_date") == run_date).agg(F.max("attempt").alias("_last"))),
-            F.lit(True), "left",
-        )
+        last = previous_runs.groupBy("run_date").agg(F.max("attempt").alias("_last"))
+        header = header.withColumn("run_date", run_date).join(last, "run_date", "left")
         attempt = F.coalesce("_last", F.lit(0)) + 1
     header = header.select(
         run_date.alias("run_date"), status.alias("status"), attempt.alias("attempt"),

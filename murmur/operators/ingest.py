@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from murmur.functions import text as tx
 from murmur.operators.dedup import content_hash, simhash, simhash_hex
+from murmur.session import fence
 
 # Fixed values: (minimum, ideal) effective lengths and method confidences.
 LENGTH_RULES = {
@@ -35,14 +36,12 @@ def _lit_struct_map(values: dict) -> Column:
 
 def normalize(docs: DataFrame) -> DataFrame:
     """Typed, canonical fields of raw documents; `norm_error` marks rows without identity or content."""
-    platform = tx.platform_code(tx.plain(F.col("platform")))
-    url = tx.normalize_url(F.col("source_url"))
-    source_id = tx.plain(F.col("source_article_id"))
-    raw = F.coalesce("raw_content", F.lit(""))
-    rows = docs.withColumns({
-        "platform": platform, "url": url, "source_article_id": source_id, "raw_content": raw,
-        "title": F.coalesce(tx.plain(F.col("title")), F.lit("")),
-        "author": tx.plain(F.col("author")), "author_id": tx.plain(F.col("author_id")),
+    short = ("platform", "source_article_id", "title", "author", "author_id")
+    rows = docs.withColumns({c: tx.unescape_nfkc(F.col(c)) for c in short})
+    rows = rows.withColumns({c: tx.blank_to_null(tx.collapse(tx.strip_invisible(F.col(c)))) for c in short})
+    rows = rows.withColumns({
+        "platform": tx.platform_code(F.col("platform")), "url": tx.normalize_url(F.col("source_url")),
+        "raw_content": F.coalesce("raw_content", F.lit("")), "title": F.coalesce("title", F.lit("")),
         "author_type": F.coalesce(F.nullif("author_type", F.lit("")), F.lit("unknown")),
         "source_type": F.coalesce(F.nullif("source_type", F.lit("")), F.lit("news")),
         "language": F.coalesce(F.nullif("language", F.lit("")), F.lit("unknown")),
@@ -116,73 +115,85 @@ def selected_text(pages: pd.Series, platforms: pd.Series) -> pd.Series:
     return pd.Series([one(p, q) for p, q in zip(pages, platforms)], dtype=object)
 
 
-def _text_lines(markup: Column, drop: str) -> Column:
-    """Visible lines of markup without the dropped elements; every tag ends a text piece."""
+def _bare(markup: Column, drop: str) -> Column:
+    """Markup without comments and the dropped elements; every tag ends a text piece."""
     body = F.regexp_replace(markup, "<!--[\\s\\S]*?-->", "")
     body = F.regexp_replace(body, f"(?i)<({drop})\\b[^>]*>[\\s\\S]*?</\\1\\s*>", "\n")
-    body = F.regexp_replace(body, "<[^>]+>", "\n")
-    lines = F.transform(F.split(tx.unescape_only(body), "\n|\r"),
-                        lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))
+    return F.regexp_replace(body, "<[^>]+>", "\n")
+
+
+def _lines(text: Column) -> Column:
+    lines = F.transform(F.split(text, "\n|\r"), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def is_valid(text: Column, source_type: Column) -> Column:
-    """Long enough for its source type, mostly real characters, and not a blocked page."""
-    flat = tx.collapse(F.coalesce(text, F.lit("")))
-    effective = tx.effective_length(flat)
-    minimum = F.coalesce(tx.literal_map(EXTRACT_MINIMUM)[source_type], F.lit(100))
-    return (
-        (flat != "") & tx.blocked_code(flat).isNull() & (effective >= minimum)
-        & (effective / F.greatest(F.lit(1), F.length(flat)) >= 0.35)
+def with_validity(rows: DataFrame, text: str, source_type: str, out: str) -> DataFrame:
+    """Flag texts that are long enough for their source type, mostly real characters, and no blocked page."""
+    flat, effective = f"_{out}_flat", f"_{out}_eff"
+    minimum = F.coalesce(tx.literal_map(EXTRACT_MINIMUM)[F.col(source_type)], F.lit(100))
+    rows = rows.withColumn(flat, tx.collapse(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumns({effective: tx.effective_length(F.col(flat)), f"_{out}_code": tx.blocked_code(F.col(flat))})
+    verdict = (
+        (F.col(flat) != "") & F.col(f"_{out}_code").isNull() & (F.col(effective) >= minimum)
+        & (F.col(effective) / F.greatest(F.lit(1), F.length(flat)) >= 0.35)
     )
+    return rows.withColumn(out, verdict).drop(flat, effective, f"_{out}_code")
 
 
 def extract(rows: DataFrame) -> DataFrame:
-    """Main content of each page: plain text, then content containers, then all visible text (degraded)."""
-    raw, kind, platform = F.col("raw_content"), F.col("source_type"), F.col("platform")
+    """Main content of each page: plain text, then content containers, then all visible text (degraded).
+
+    Each step is a column of its own, so no text is worked through twice."""
+    raw, platform = F.col("raw_content"), F.col("platform")
     plain = F.col("content_type").isin("text", "json") & ~raw.rlike("<[^>]+>")
     block = F.coalesce(
         F.nullif(F.regexp_extract(raw, "(?is)<article\\b[^>]*>(.*?)</article\\s*>", 1), F.lit("")),
         F.nullif(F.regexp_extract(raw, "(?is)<main\\b[^>]*>(.*?)</main\\s*>", 1), F.lit("")),
     )
     weibo = (platform == "weibo") & raw.contains(WEIBO_CLASS)
-    needs = ~plain & (block.isNull() | weibo)
+    rows = fence(rows)
+    rows = rows.withColumns({"_plain": plain, "_block": F.when(~weibo, block)})
+    rows = rows.withColumn("_picked", selected_text(F.when(~F.col("_plain") & F.col("_block").isNull(), raw), platform))
     rows = rows.withColumns({
-        "_plain": plain, "_block": F.when(~weibo, block),
-        "_picked": selected_text(F.when(needs, raw), platform),
+        "_chosen_raw": _bare(F.col("_block"), "script|style|template"),
+        "_visible_raw": F.when(F.col("_plain"), raw).otherwise(_bare(raw, "script|style|noscript|svg|form")),
     })
     rows = rows.withColumns({
-        "_chosen": F.coalesce(_text_lines(F.col("_block"), "script|style|template"), F.col("_picked")),
-        "_visible": _text_lines(F.when(~F.col("_plain"), raw), "script|style|noscript|svg|form"),
+        "_chosen_text": tx.unescape_only(F.col("_chosen_raw")),
+        "_visible_text": F.when(F.col("_plain"), F.col("_visible_raw")).otherwise(tx.unescape_only(F.col("_visible_raw"))),
     })
-    trimmed = F.regexp_replace(raw, "(?U)^\\s+|\\s+$", "")
+    rows = rows.withColumns({
+        "_chosen": F.coalesce(_lines(F.col("_chosen_text")), F.col("_picked")),
+        "_visible": F.when(F.col("_plain"), F.regexp_replace(raw, "(?U)^\\s+|\\s+$", "")).otherwise(_lines(F.col("_visible_text"))),
+    }).drop("_block", "_picked", "_chosen_raw", "_visible_raw", "_chosen_text", "_visible_text")
+    rows = with_validity(with_validity(rows, "_chosen", "source_type", "_chosen_ok"), "_visible", "source_type", "_visible_ok")
     method = (
-        F.when(F.col("_plain"), F.when(is_valid(raw, kind), "plain_text"))
-        .when(is_valid(F.col("_chosen"), kind), "bs4").when(is_valid(F.col("_visible"), kind), "fallback")
+        F.when(F.col("_plain"), F.when(F.col("_visible_ok"), "plain_text"))
+        .when(F.col("_chosen_ok"), "bs4").when(F.col("_visible_ok"), "fallback")
     )
     rows = rows.withColumn("extraction_method", method)
     return rows.withColumns({
-        "extracted_text": F.when(F.col("extraction_method") == "plain_text", trimmed)
-        .when(F.col("extraction_method") == "bs4", F.col("_chosen")).when(F.col("extraction_method") == "fallback", F.col("_visible")),
+        "extracted_text": F.when(F.col("extraction_method") == "bs4", F.col("_chosen")).when(F.col("extraction_method").isNotNull(), F.col("_visible")),
         "extraction_degraded": F.coalesce(F.col("extraction_method") == "fallback", F.lit(False)),
         "extract_error": F.when(F.col("extraction_method").isNull(), "EXTRACT_ALL_METHODS_FAILED"),
-    }).drop("_plain", "_block", "_picked", "_chosen", "_visible")
+    }).drop("_plain", "_chosen", "_visible", "_chosen_ok", "_visible_ok")
 
 
 def clean(rows: DataFrame, source: str = "extracted_text") -> DataFrame:
     """Cleaned body, ordered distinct mentions/topics/links/emotions, removed boilerplate lines, lengths."""
-    original = F.coalesce(source, F.lit(""))
-    rows = rows.withColumn("_c", tx.clean_struct(original))
-    rows = rows.withColumn("_lines", tx.trimmed_lines(F.col("_c.text")))
+    rows = fence(rows).withColumn("_1", tx.strip_html(F.coalesce(source, F.lit(""))))
+    rows = rows.withColumn("_2", tx.unescape_nfkc(F.col("_1")))
+    rows = rows.withColumn("_text", tx.strip_invisible(F.regexp_replace("_2", "\r\n|\r", "\n")))
     rows = rows.withColumns({
-        "clean_content": tx.kept_text(F.col("_lines")), "removed_lines": tx.removed_lines(F.col("_lines")),
-        "mentions": F.col("_c.mentions"), "topics": F.col("_c.topics"), "urls": F.col("_c.urls"),
-        "emotions": F.col("_c.emotions"), "original_length": F.length(original),
+        "_lines": tx.trimmed_lines(F.col("_text")), "original_length": F.length(F.coalesce(source, F.lit(""))),
+        "mentions": tx.found_in(F.col("_text"), tx.MENTION_PATTERN), "topics": tx.found_in(F.col("_text"), tx.TOPIC_PATTERN),
+        "urls": tx.found_in(F.col("_text"), tx.URL_PATTERN), "emotions": tx.found_in(F.col("_text"), tx.EMOTION_PATTERN),
     })
+    rows = rows.withColumns({"clean_content": tx.kept_text(F.col("_lines")), "removed_lines": tx.removed_lines(F.col("_lines"))})
     return rows.withColumns({
         "removed_length": F.greatest(F.lit(0), F.col("original_length") - F.length("clean_content")),
         "clean_error": F.when(F.col("clean_content") == "", "CLEAN_EMPTY_AFTER_CLEANING"),
-    }).drop("_c", "_lines")
+    }).drop("_1", "_2", "_text", "_lines")
 
 
 def dominant_share(tokens: Column) -> Column:
@@ -193,12 +204,7 @@ def dominant_share(tokens: Column) -> Column:
         run = F.when(token == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
         return F.struct(token.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(tokens), start, step)["best"] / F.size(tokens)
-
-
-def repetition_score(text: Column) -> Column:
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[\\u4e00-\\u9fff]|[A-Za-z0-9]+"), F.lit(0))
-    return F.when(F.size(tokens) < 4, 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - dominant_share(tokens)))
+    return F.try_divide(F.aggregate(tokens, start, step)["best"].cast("double"), F.size(tokens))
 
 
 def judge(rows: DataFrame) -> DataFrame:
@@ -210,8 +216,10 @@ def judge(rows: DataFrame) -> DataFrame:
     degraded = F.coalesce("extraction_degraded", F.lit(False))
     known = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("int")
     hits = F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in ADVERTISEMENT.items()]))
+    rows = rows.withColumn("_tok", F.array_sort(F.regexp_extract_all(F.lower(text), F.lit("[\\u4e00-\\u9fff]|[A-Za-z0-9]+"), F.lit(0))))
+    rows = rows.withColumn("_top", dominant_share(F.col("_tok")))
     rows = rows.withColumns({
-        "_eff": tx.effective_length(text), "_rep": repetition_score(text),
+        "_eff": tx.effective_length(text), "_rep": F.when(F.size("_tok") < 4, 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("_top"))),
         "_noise": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("removed_length") / F.greatest(F.lit(1), F.col("original_length")))),
         "advertisement_reasons": hits,
     })
@@ -232,16 +240,18 @@ def judge(rows: DataFrame) -> DataFrame:
         "quality_level": pick("good", "usable", "low", "very_low"), "nlp_weight": pick(1.0, 0.8, 0.5, 0.2),
         "quality_flags": flags, "advertisement_score": ad, "is_advertisement": ad >= 0.4,
         "spam_weight": F.when(ad >= 0.4, 0.5).otherwise(1.0),
-    }).drop("_eff", "_rep", "_noise")
+    }).drop("_eff", "_rep", "_noise", "_tok", "_top")
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
+    rows = fence(rows)
     return rows.withColumns({
         "content_hash": content_hash(F.col("clean_content")), "simhash": simhash_hex(simhash(F.col("clean_content"))),
     })
 
 
 def segment(rows: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    # cleaned text is already folded, so segmentation adds no further Python step
     rows = rows.withColumn("_s", tx.segment_struct(F.col("clean_content"), F.col("topics"), F.col("mentions"), stopwords))
     return rows.withColumns({c: F.col(f"_s.{c}") for c in ("tokens", "tfidf_tokens", "sentiment_tokens")}).drop("_s")
 

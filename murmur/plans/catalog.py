@@ -1,4 +1,4 @@
 """Importing the plan modules fills the registry."""
 
-from murmur.plans import dedup, heat, sentiment, sources, text  # noqa: F401
+from murmur.plans import dedup, features, heat, sentiment, sources, text  # noqa: F401
 from murmur.plans.registry import ORACLE, QUERIES  # noqa: F401

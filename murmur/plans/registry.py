@@ -14,6 +14,8 @@ BASE_TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+TEXT_TABLES = ("documents", "pages")
+
 # Logical inputs over the given tables. The same text runs in Spark and in the checking engine.
 VIEWS: dict[str, str] = {
     "heat_article": """
@@ -83,15 +85,24 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = tune(spark), folder
 
+    def _base(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXT_TABLES:
+            # a text table in one small file would keep all but one core idle; large inputs have enough splits
+            cores = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                return df.repartition(cores)
+        return df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             text = VIEWS[name]
-            used = {t: self.spark.read.parquet(f"{self.folder}/{t}.parquet") for t in BASE_TABLES if "{" + t + "}" in text}
+            used = {t: self._base(t) for t in BASE_TABLES if "{" + t + "}" in text}
             for key, value in _DIALECT["spark"].items():
                 text = text.replace("{" + key + "}", value)
             return self.spark.sql(text, **used)
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self._base(name)
         raise AttributeError(name)
 
 

@@ -170,7 +170,8 @@ def _(t):
 @query("N11_text_validity", f"""SELECT doc_id, lang, f <> '' AND {eff('f')} >= 100 AND {eff('f')} / CAST(greatest(1, length(f)) AS DOUBLE) >= 0.35 AS valid
     FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents) x""")
 def _(t):
-    return t.documents.select("doc_id", "lang", ingest.is_valid(F.col("text"), F.lit("news")).alias("valid"))
+    rows = t.documents.withColumn("kind", F.lit("news"))
+    return ingest.with_validity(rows, "text", "kind", "valid").select("doc_id", "lang", "valid")
 
 
 _QUALITY = f"""

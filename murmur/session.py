@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RUNTIME_CONF = {
     # naive times are UTC throughout
@@ -51,3 +51,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator. Expressions between two Python steps are otherwise copied into the
+    second step once per use, which makes long text projections grow exponentially."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
