@@ -206,7 +206,8 @@ def parse_metric(value: Column) -> Column:
         .when(text.endswith("k"), 1e3).when(text.endswith("m"), 1e6).otherwise(1.0)
     )
     truth = F.when(text == "true", 1).when(text == "false", 0)
-    return F.coalesce(truth.cast("long"), F.greatest(F.lit(0), (number * factor).cast("long")))
+    # greatest() skips nulls, so an unreadable text must be kept apart from zero
+    return F.coalesce(truth.cast("long"), F.when(number.isNotNull(), F.greatest(F.lit(0), (number * factor).cast("long"))))
 
 
 _TIME_FORMATS = (

@@ -167,10 +167,19 @@ def article_keywords(
         return F.struct((-score).alias("neg"), x["term"].alias("term"), score.alias("score"), source.alias("source"), kind.alias("type"))
 
     ranked = lists.withColumn("r", F.array_sort(F.transform("c", scored)))
-    phrases = F.filter("r", lambda x: x["type"] == "phrase")
-    ranked = ranked.withColumn("_phrases", F.transform(phrases, lambda x: F.struct(tx.display_term(x["term"]).alias("d"), x["score"].alias("s"))))
-    covered = lambda x: F.exists("_phrases", lambda p: p["d"].contains(tx.display_term(x["term"])) & (p["s"] >= x["score"]))
-    ranked = ranked.withColumn("r", F.filter("r", lambda x: (x["type"] != "word") | ~covered(x)))
+    # a list is in score order, so the words that can make it to the front are judged against the front phrases;
+    # only where too few words survive there is the whole list judged
+    head = max(64, limit * 4)
+    ranked = ranked.withColumn("_head", F.slice("r", 1, head))
+    shown = lambda items: F.transform(F.filter(items, lambda x: x["type"] == "phrase"), lambda x: F.struct(tx.display_term(x["term"]).alias("d"), x["score"].alias("s")))
+    edge = F.element_at("_head", -1)["score"]
+    ranked = ranked.withColumns({
+        "_front": F.when(F.size("r") > 0, shown(F.filter("r", lambda x: x["score"] >= edge))), "_phrases": shown(F.col("r"))})
+    covered = lambda x, phrases: F.exists(phrases, lambda p: (p["s"] >= x["score"]) & p["d"].contains(tx.display_term(x["term"])))
+    keep = lambda items, phrases: F.filter(items, lambda x: (x["type"] != "word") | ~covered(x, phrases))
+    ranked = ranked.withColumn("_kept", F.when(F.size("r") > 0, keep("_head", "_front")).otherwise(F.col("r")))
+    enough = (F.size("_kept") >= limit) | (F.size("r") <= head)
+    ranked = ranked.withColumn("r", F.when(enough, F.col("_kept")).otherwise(keep("r", "_phrases")))
     short = F.size("r") < limit
     have = F.transform("r", lambda x: tx.display_term(x["term"]))
     # the Python step sees plain columns only, and no words of lists that are already full

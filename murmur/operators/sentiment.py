@@ -14,7 +14,7 @@ from murmur.operators.heat import time_confidence
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value.cast("double")))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value.cast("double"))))
 
 
 def _base_weight() -> Column:

@@ -94,20 +94,13 @@ _KEYWORD = """merged AS (SELECT article_id, term, max(own) AS own, max(src) AS s
   top AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY s DESC, term) AS rank FROM kept)"""
 
 
-@query("F5_article_keywords", None)
+@query("F5_article_keywords", f"""WITH {_DOC}, {_KEYWORD} SELECT article_id, CAST(rank AS INT) AS rank, term, round(s / max(s) OVER (PARTITION BY article_id), 6) AS score, source, type
+    FROM top WHERE rank <= 10""")
 def _(t):
     d, s = scores(t)
-    return features.article_keywords(s, d)
-
-
-@query("F5_keyword_candidates", f"WITH {_DOC}, {_KEYWORD} SELECT article_id, count(*) AS n, round(max(s), 5) AS best FROM (SELECT article_id, s FROM top WHERE rank <= 3) x GROUP BY article_id HAVING count(*) >= 1")
-def _(t):
-    d, s = scores(t)
-    cfg = FeatureConfig(article_keyword_limit=3)
-    k = features.article_keywords(s, d, cfg=cfg)
-    best = s.groupBy("article_id").agg(F.max("score").alias("best"))
-    out = k.groupBy("article_id").agg(F.count("*").alias("n")).join(best, "article_id", "left")
-    return out.select("article_id", "n", F.round(F.coalesce("best", F.lit(0.95)), 5).alias("best"))
+    k = features.article_keywords(s, d)
+    # words filled in by graph rank have no SQL form; they follow all others
+    return k.where("source <> 'textrank'")
 
 
 @query("F6_graph_rank_words", None)
@@ -122,11 +115,11 @@ def _(t):
     UNION ALL SELECT event_id, article_id, platform, '#' || lang || '#', 0.2e0 * w, 1, 'topic', 'hashtag' FROM w WHERE article_id % 3 = 0),
   g AS (SELECT event_id, term, round(sum(s), 9) AS raw, arg_max(source, stage) AS source, arg_max(type, stage) AS type, count(DISTINCT article_id) AS document_count, count(DISTINCT platform) AS platform_count FROM rows GROUP BY 1, 2),
   k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY raw DESC, document_count DESC, platform_count DESC, term) AS rank, max(raw) OVER (PARTITION BY event_id) AS m FROM g WHERE document_count >= 2 OR type <> 'word')
-  SELECT event_id, CAST(rank AS INT) AS rank, term, round(raw / m, 4) AS score, source, type, document_count, round(document_count / CAST((SELECT count(*) FROM w WHERE w.event_id = k.event_id) AS DOUBLE), 6) AS document_ratio, platform_count
+  SELECT event_id, CAST(rank AS INT) AS rank, term, round(raw / m, 6) AS score, source, type, document_count, round(document_count / CAST((SELECT count(*) FROM w WHERE w.event_id = k.event_id) AS DOUBLE), 6) AS document_ratio, platform_count
   FROM k WHERE rank <= 20""")
 def _(t):
     d, s = scores(t)
-    return features.event_keywords(s, d, d.select("event_id", "article_id")).withColumn("score", F.round("score", 4))
+    return features.event_keywords(s, d, d.select("event_id", "article_id"))
 
 
 _LISTED = """SELECT event_id AS article_id, CAST(i AS INT) AS rank, CASE WHEN i = 1 AND user_id % 3 = 0 THEN '查询' WHEN i = 2 THEN concat('词', CAST(event_id % 9 AS STRING)) WHEN i = 5 THEN 'latin' ELSE concat('话题', CAST((event_id * i) % 13 AS STRING)) END AS term,
