@@ -8,6 +8,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -25,6 +27,52 @@ def ngrams(tokens: Column) -> Column:
     return F.concat(tokens, F.array_compact(pairs))
 
 
+def _list_grams(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """(row, term) of all unigrams and bigrams of a column of token lists."""
+    flat, row = lists.flatten(), pc.list_parent_indices(lists)
+    same = pc.equal(row.slice(0, max(0, len(row) - 1)), row.slice(1))
+    pairs = pc.binary_join_element_wise(flat.slice(0, max(0, len(flat) - 1)), flat.slice(1), " ")
+    return pa.concat_arrays([row, row.slice(1).filter(same)]), pa.concat_arrays([flat, pairs.filter(same)])
+
+
+def _edge(lists: pa.ListArray, last: bool) -> pa.Array:
+    """First or last token of each list, null for empty ones."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = ends - 1 if last else ends - sizes
+    return lists.flatten().take(pa.array(np.where(sizes > 0, at, 0), mask=sizes == 0))
+
+
+def _count_batches(batches):
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        title, body = batch.column("title_tokens"), batch.column("body_tokens")
+        parts = []
+        for lists, flags in ((title, (1, 0, 1)), (body, (0, 1, 1))):
+            parts.append((*_list_grams(lists), flags))
+        seam = pc.binary_join_element_wise(_edge(title, True), _edge(body, False), " ")
+        where = pc.is_valid(seam)
+        parts.append((pa.array(np.arange(batch.num_rows)).filter(where), seam.filter(where), (0, 0, 1)))
+        table = pa.concat_tables([
+            pa.table({"row": row.cast(pa.int64()), "term": term.cast(pa.string()),
+                      **{c: pa.array(np.full(len(term), f, dtype=np.int64)) for c, f in zip(("title_n", "body_n", "joint_n"), flags)}})
+            for row, term, flags in parts])
+        counted = table.group_by(["row", "term"], use_threads=False).aggregate([("title_n", "sum"), ("body_n", "sum"), ("joint_n", "sum")])
+        out = pa.table({"article_id": batch.column("article_id").take(counted["row"].combine_chunks()), "term": counted["term"],
+                        "title_n": counted["title_n_sum"], "body_n": counted["body_n_sum"], "joint_n": counted["joint_n_sum"]})
+        yield from out.to_batches()
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """One row per document and n-gram `(article_id, term, title_n, body_n, joint_n)`.
+
+    Counted inside each Arrow batch by its vectorised grouping, so a repeated word costs one row, not one per
+    occurrence. `joint_n` reads title and body as one sequence, with the bigram across their seam."""
+    rows = docs.select(F.col("article_id").cast("long").alias("article_id"), "title_tokens", "body_tokens")
+    return rows.mapInArrow(_count_batches, "article_id long, term string, title_n long, body_n long, joint_n long")
+
+
 def corpus_warnings(documents: int, cfg: FeatureConfig = FeatureConfig()) -> tuple[list[str], float]:
     """Warnings of a small corpus and the document-frequency ceiling in force."""
     if documents == 0:
@@ -37,30 +85,23 @@ def corpus_warnings(documents: int, cfg: FeatureConfig = FeatureConfig()) -> tup
 
 
 def vocabulary(docs: DataFrame, documents: int, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Terms kept for the corpus with document frequency and count, most frequent first, ties by term.
-
-    Occurrences and document hits are counted in one aggregation over the exploded arrays, so only one
-    partial row per task and term is shuffled."""
-    grams = docs.select(ngrams(F.concat("title_tokens", "body_tokens")).alias("g"))
-    seen = grams.select(F.explode("g").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    once = grams.select(F.explode(F.array_distinct("g")).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
+    """Terms kept for the corpus with document frequency and count, most frequent first, ties by term."""
+    counts = gram_counts(docs).groupBy("term").agg(F.sum("joint_n").alias("count"), F.count("*").alias("df"))
     _warnings, max_df = corpus_warnings(documents, cfg)
-    counts = seen.unionByName(once).groupBy("term").agg(F.sum("tf").alias("count"), F.sum("df").alias("df"))
     kept = counts.where((F.col("df") >= cfg.min_df) & (F.col("df") <= max_df * documents))
     return kept.orderBy(F.desc("count"), F.asc("term")).limit(cfg.max_features)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(article_id, term, count) over title and body read as one sequence."""
-    long = docs.select("article_id", F.explode(ngrams(F.concat("title_tokens", "body_tokens"))).alias("term"))
-    return long.join(F.broadcast(terms.select("term")), "term").groupBy("article_id", "term").agg(F.count("*").alias("count"))
+    """(article_id, term, count) over title and body read as one sequence; one input row per article."""
+    return gram_counts(docs).join(F.broadcast(terms.select("term")), "term").select("article_id", "term", F.col("joint_n").alias("count"))
 
 
 def weighted_counts(docs: DataFrame, terms: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """(article_id, term, weight): title and body counted apart, each with its weight."""
-    part = lambda c, w: docs.select("article_id", F.explode(ngrams(F.col(c))).alias("term"), F.lit(float(w)).alias("w"))
-    long = part("title_tokens", cfg.title_weight).unionByName(part("body_tokens", cfg.body_weight))
-    return long.join(F.broadcast(terms.select("term")), "term").groupBy("article_id", "term").agg(F.sum("w").alias("weight"))
+    """(article_id, term, weight): title and body counted apart, each with its weight; no shuffle."""
+    weight = F.col("title_n") * float(cfg.title_weight) + F.col("body_n") * float(cfg.body_weight)
+    kept = gram_counts(docs).join(F.broadcast(terms.select("term")), "term").select("article_id", "term", weight.alias("weight"))
+    return kept.where("weight > 0")
 
 
 def tfidf(weighted: DataFrame, documents: int) -> DataFrame:
@@ -128,10 +169,9 @@ def article_keywords(
     limit = cfg.article_keyword_limit
     queries = sorted({" ".join(q.casefold().split()) for q in query_terms if q.strip()})
     shown_queries = sorted({q.replace(" ", "") if all("一" <= c <= "鿿" or c == " " for c in q) else q for q in queries})
-    term = tx.normalize_term(F.col("term"))
-    base = scores.select("article_id", term.alias("term"), "score").where(tx.valid_term(F.col("term")))
+    base = _lexical(scores)
     if shown_queries:
-        base = base.where(~tx.display_term(F.col("term")).isin(*shown_queries))
+        base = base.where(~F.col("shown").isin(*shown_queries))
     ids = docs.select("article_id", "entities", "topics")
     outside = (lambda c: ~tx.display_term(c).isin(*shown_queries)) if shown_queries else (lambda c: F.lit(True))
     entity = ids.select("article_id", F.explode("entities").alias("t", "kind")).select(
@@ -139,7 +179,7 @@ def article_keywords(
     topic = ids.select("article_id", F.explode("topics").alias("t")).select(
         "article_id", tx.normalize_term(F.col("t")).alias("term")).where(tx.valid_term(F.col("term")) & outside(F.col("term")))
     none, flag = F.lit(None).cast("string"), lambda b: F.lit(b)
-    rows = base.select("article_id", "term", "score", none.alias("kind"), flag(0).alias("src"))
+    rows = base.select("article_id", "term", "score", none.alias("kind"), flag(0).alias("src"))  # terms are ready-made here
     rows = rows.unionByName(entity.select("article_id", "term", F.lit(None).cast("double").alias("score"), "kind", flag(1).alias("src")))
     rows = rows.unionByName(topic.select("article_id", "term", F.lit(None).cast("double").alias("score"), none.alias("kind"), flag(2).alias("src")))
     if queries:
@@ -195,15 +235,24 @@ def article_keywords(
         F.col("k.source").alias("source"), F.col("k.type").alias("type"))
 
 
+def _lexical(scores: DataFrame) -> DataFrame:
+    """Scores with normalised, shown and typed terms, invalid ones left out.
+
+    The text rules run once per vocabulary term, at most `max_features` of them, not once per document and term."""
+    terms = scores.select("term").distinct().withColumn("_t", tx.normalize_term(F.col("term")))
+    terms = terms.where(tx.valid_term(F.col("_t"))).select("term", "_t", tx.display_term(F.col("_t")).alias("shown"), tx.term_type(F.col("_t")).alias("lex_type"))
+    return scores.join(F.broadcast(terms), "term").select("article_id", F.col("_t").alias("term"), "score", "shown", "lex_type")
+
+
 def event_keywords(scores: DataFrame, docs: DataFrame, members: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Top keywords of each event with score, coverage and origin, from `members(event_id, article_id)`."""
     weight = F.greatest(F.lit(0.0), F.col("nlp_weight").cast("double"))
     base = members.join(docs.select("article_id", "platform", "entities", "topics", weight.alias("w")), "article_id")
     norm = lambda c: tx.normalize_term(F.col(c))
-    counted = scores.select("article_id", norm("term").alias("t"), "score").where(tx.valid_term(F.col("t")))
-    plain = counted.join(base, "article_id").select(
-        "event_id", "article_id", "platform", tx.display_term(F.col("t")).alias("term"), (F.col("score") * F.col("w")).alias("s"),
-        F.struct(F.lit(0).alias("stage"), "article_id", F.lit(0).alias("o")).alias("at"), F.lit("tfidf").alias("source"), tx.term_type(F.col("t"), F.col("entities")).alias("type"))
+    plain = _lexical(scores).join(base, "article_id").select(
+        "event_id", "article_id", "platform", F.col("shown").alias("term"), (F.col("score") * F.col("w")).alias("s"),
+        F.struct(F.lit(0).alias("stage"), "article_id", F.lit(0).alias("o")).alias("at"), F.lit("tfidf").alias("source"),
+        F.coalesce(F.col("entities")[F.col("shown")], F.col("lex_type")).alias("type"))
     ent = base.select("event_id", "article_id", "platform", "w", F.explode("entities").alias("raw", "kind")).withColumn("t", norm("raw")).where(tx.valid_term(F.col("t"))).select(
         "event_id", "article_id", "platform", tx.display_term(F.col("t")).alias("term"), (F.lit(0.25) * F.col("w")).alias("s"),
         F.struct(F.lit(1).alias("stage"), "article_id", F.lit(1).alias("o")).alias("at"), F.lit("entity").alias("source"), F.col("kind").alias("type"))

@@ -314,7 +314,7 @@ def _landed(t):
 @query("H19_daily_hot_run", f"""WITH hot_rank_item AS (
     SELECT source, title, source_url, CAST(position AS INT) AS rank FROM ({_LANDED.replace('STRING', 'VARCHAR')}) l
     WHERE position <= 30 AND source IN ('view', 'click', 'purchase')), {_RRF[5:].replace('{items}', 'hot_rank_item')}
-    ORDER BY f.s DESC, source_count DESC, best_rank, title LIMIT 10""")
+    ORDER BY round(f.s, 12) DESC, source_count DESC, best_rank, title LIMIT 10""")
 def _(t):
     header, items = hotlist.daily_run(_landed(t), ["view", "click", "purchase"], F.expr("DATE '2024-01-31'"))
     return items.selectExpr(

@@ -59,7 +59,7 @@ def _(t):
 
 
 @query("T5_hot_list_fusion", _RRF.replace("{items}", """(SELECT event_type AS source, CAST(1 + event_id % 30 AS INT) AS rank, 'topic ' || CAST(user_id AS VARCHAR) || ' x' AS title, NULL AS source_url FROM events) e""").replace(", ranks\nFROM", "\nFROM")
-       + " ORDER BY f.s DESC, source_count DESC, best_rank, s.title LIMIT 10")
+       + " ORDER BY round(f.s, 12) DESC, source_count DESC, best_rank, s.title LIMIT 10")
 def _(t):
     items = t.spark.sql("""SELECT event_type AS source, CAST(1 + event_id % 30 AS INT) AS rank, concat('topic ', user_id, ' x') AS title,
         CAST(NULL AS STRING) AS source_url, props AS payload FROM {events}""", events=event_stream(t))
