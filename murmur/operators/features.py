@@ -189,50 +189,53 @@ def article_keywords(
     merged = rows.groupBy("article_id", "term").agg(
         F.max("score").alias("own"), F.max("kind").alias("kind"), F.max("src").alias("src"),
         F.max((F.col("src") == 1).cast("int")).alias("is_entity"))
-    # one document's candidates are bounded by its own vocabulary, so they may sit in one array
-    lists = merged.groupBy("article_id").agg(
-        F.collect_list(F.struct("term", "own", "kind", "src", "is_entity")).alias("c"), F.coalesce(F.max("own"), F.lit(1.0)).alias("anchor"))
-    lists = docs.select("article_id", "entities", "title_tokens", "body_tokens").join(lists, "article_id", "left").withColumns({
-        "c": F.coalesce("c", F.array().cast("array<struct<term:string,own:double,kind:string,src:int,is_entity:int>>")),
-        "anchor": F.coalesce("anchor", F.lit(1.0)),
-    })
-    anchor = F.col("anchor")
-
-    def scored(x):
-        own = F.coalesce(x["own"], F.lit(0.0))
-        lifted = F.greatest(own, F.when(x["is_entity"] == 1, anchor * 0.95).otherwise(0.0))
-        score = F.when(x["src"] == 3, anchor * 0.6).when(x["src"] == 2, F.greatest(lifted, anchor * 0.9)).otherwise(lifted)
-        source = F.when(x["src"] == 3, "query").when(x["src"] == 2, "topic").when(x["src"] == 1, "entity").otherwise("tfidf")
-        kind = F.when(x["src"] == 2, "hashtag").when(x["src"] == 1, x["kind"]).otherwise(tx.term_type(x["term"], F.col("entities")))
-        return F.struct((-score).alias("neg"), x["term"].alias("term"), score.alias("score"), source.alias("source"), kind.alias("type"))
-
-    ranked = lists.withColumn("r", F.array_sort(F.transform("c", scored)))
-    # a list is in score order, so the words that can make it to the front are judged against the front phrases;
-    # only where too few words survive there is the whole list judged
+    # scores are plain columns; a document's rows are bounded by the vocabulary, which bounds the window
+    of_doc = W.partitionBy("article_id")
+    anchor = F.coalesce(F.max("own").over(of_doc), F.lit(1.0))
+    rows = merged.join(docs.select("article_id", "entities"), "article_id").withColumns({"anchor": anchor, "_n": F.count("*").over(of_doc)})
+    lifted = F.greatest(F.coalesce("own", F.lit(0.0)), F.when(F.col("is_entity") == 1, F.col("anchor") * 0.95).otherwise(0.0))
+    src = F.col("src")
+    rows = rows.select(
+        "article_id", "term", "anchor", "_n",
+        F.when(src == 3, F.col("anchor") * 0.6).when(src == 2, F.greatest(lifted, F.col("anchor") * 0.9)).otherwise(lifted).alias("score"),
+        F.when(src == 3, "query").when(src == 2, "topic").when(src == 1, "entity").otherwise("tfidf").alias("source"),
+        F.when(src == 2, "hashtag").when(src == 1, F.col("kind")).otherwise(tx.term_type(F.col("term"), F.col("entities"))).alias("type"),
+        tx.display_term(F.col("term")).alias("shown"))
+
+    def judged(part: DataFrame) -> DataFrame:
+        """Ordered candidate list per document without the words that a phrase of at least their score contains."""
+        entry = F.struct((-F.col("score")).alias("neg"), "term", "score", "source", "type", "shown")
+        lists = fence(part.groupBy("article_id").agg(
+            F.array_sort(F.collect_list(entry)).alias("r"), F.first("anchor").alias("anchor"), F.first("_n").alias("_n"),
+            F.collect_list(F.when(F.col("type") == "phrase", F.struct(F.col("shown").alias("d"), F.col("score").alias("s")))).alias("_phrases")))
+        covered = lambda x: F.exists("_phrases", lambda p: (p["s"] >= x["score"]) & p["d"].contains(x["shown"]))
+        return lists.select("article_id", "anchor", "_n", F.filter("r", lambda x: (x["type"] != "word") | ~covered(x)).alias("r"))
+
+    # a phrase that covers a word ranks no lower, so the front of a list (ties included) can be judged by itself;
+    # documents left with too few words are judged as a whole
     head = max(64, limit * 4)
-    ranked = ranked.withColumn("_head", F.slice("r", 1, head))
-    shown = lambda items: F.transform(F.filter(items, lambda x: x["type"] == "phrase"), lambda x: F.struct(tx.display_term(x["term"]).alias("d"), x["score"].alias("s")))
-    edge = F.element_at("_head", -1)["score"]
-    ranked = ranked.withColumns({
-        "_front": F.when(F.size("r") > 0, shown(F.filter("r", lambda x: x["score"] >= edge))), "_phrases": shown(F.col("r"))})
-    covered = lambda x, phrases: F.exists(phrases, lambda p: (p["s"] >= x["score"]) & p["d"].contains(tx.display_term(x["term"])))
-    keep = lambda items, phrases: F.filter(items, lambda x: (x["type"] != "word") | ~covered(x, phrases))
-    ranked = ranked.withColumn("_kept", F.when(F.size("r") > 0, keep("_head", "_front")).otherwise(F.col("r")))
-    enough = (F.size("_kept") >= limit) | (F.size("r") <= head)
-    ranked = ranked.withColumn("r", F.when(enough, F.col("_kept")).otherwise(keep("r", "_phrases")))
-    short = F.size("r") < limit
-    have = F.transform("r", lambda x: tx.display_term(x["term"]))
-    # the Python step sees plain columns only, and no words of lists that are already full
-    ranked = fence(ranked.select(
-        "article_id", "r", (anchor * 0.5).alias("_half"), F.when(short, F.concat("title_tokens", "body_tokens")).alias("_words"), F.when(short, have).alias("_have")))
-    ranked = ranked.withColumn("_fill", _graph_fill("_words", "_have", "_half"))
-    out = fence(ranked.select("article_id", F.slice(F.concat("r", "_fill"), 1, limit).alias("k")))
-    # the list is sorted, so its first score is the largest
-    out = out.withColumn("_max", F.get("k", F.lit(0))["score"])
-    return out.select("article_id", "_max", F.posexplode("k").alias("i", "k")).select(
-        "article_id", (F.col("i") + 1).alias("rank"), tx.display_term(F.col("k.term")).alias("term"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("k.score") / F.when(F.col("_max") == 0, 1.0).otherwise(F.col("_max")))), 6).alias("score"),
-        F.col("k.source").alias("source"), F.col("k.type").alias("type"))
+    front = rows.withColumn("_rank", F.rank().over(of_doc.orderBy(F.desc("score")))).where(F.col("_rank") <= head)
+    front = judged(front).persist()
+    short_front = (F.size("r") < limit) & (F.col("_n") > head)
+    again = judged(rows.join(front.where(short_front).select("article_id"), "article_id", "left_semi"))
+    ranked = front.where(~short_front).unionByName(again)
+    ranked = docs.select("article_id").join(ranked, "article_id", "left").select(
+        "article_id", F.coalesce("anchor", F.lit(1.0)).alias("anchor"),
+        F.coalesce(F.slice("r", 1, limit), F.array().cast("array<struct<neg:double,term:string,score:double,source:string,type:string,shown:string>>")).alias("r"))
+    ranked = ranked.persist()  # at most `limit` entries per document, read for the lists and for the ones to fill
+    # only documents with a short list send their words to the Python step
+    todo = fence(docs.select("article_id", F.concat("title_tokens", "body_tokens").alias("_words")).join(
+        ranked.where(F.size("r") < limit).select("article_id", (F.col("anchor") * 0.5).alias("_half"), F.transform("r", lambda x: x["shown"]).alias("_have")), "article_id"))
+    filled = fence(todo.select("article_id", _graph_fill("_words", "_have", "_half").alias("_fill"))).select("article_id", F.posexplode("_fill").alias("_p", "k"))
+    own = ranked.select("article_id", F.posexplode("r").alias("_i", "k")).select("article_id", "_i", "k.neg", "k.term", "k.score", "k.source", "k.type")
+    # filling words follow in graph order
+    extra = filled.select("article_id", (F.col("_p") + limit).alias("_i"), "k.neg", "k.term", "k.score", "k.source", "k.type")
+    every = own.unionByName(extra)
+    order = of_doc.orderBy("_i")
+    listed = every.withColumns({"rank": F.row_number().over(order), "_max": F.max("score").over(of_doc)}).where(F.col("rank") <= limit)
+    return listed.select(
+        "article_id", "rank", tx.display_term(F.col("term")).alias("term"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.when(F.col("_max") == 0, 1.0).otherwise(F.col("_max")))), 6).alias("score"), "source", "type")
 
 
 def _lexical(scores: DataFrame) -> DataFrame:
