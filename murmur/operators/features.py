@@ -43,7 +43,8 @@ def _edge(lists: pa.ListArray, last: bool) -> pa.Array:
     return lists.flatten().take(pa.array(np.where(sizes > 0, at, 0), mask=sizes == 0))
 
 
-def _count_batches(batches):
+def _count_batches(batches, vocabulary: list[str] | None = None):
+    known = None if vocabulary is None else pa.array(vocabulary, pa.string())
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -58,19 +59,23 @@ def _count_batches(batches):
             pa.table({"row": row.cast(pa.int64()), "term": term.cast(pa.string()),
                       **{c: pa.array(np.full(len(term), f, dtype=np.int64)) for c, f in zip(("title_n", "body_n", "joint_n"), flags)}})
             for row, term, flags in parts])
+        if known is not None:
+            table = table.filter(pc.is_in(table["term"], value_set=known))
         counted = table.group_by(["row", "term"], use_threads=False).aggregate([("title_n", "sum"), ("body_n", "sum"), ("joint_n", "sum")])
         out = pa.table({"article_id": batch.column("article_id").take(counted["row"].combine_chunks()), "term": counted["term"],
                         "title_n": counted["title_n_sum"], "body_n": counted["body_n_sum"], "joint_n": counted["joint_n_sum"]})
         yield from out.to_batches()
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
+def gram_counts(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """One row per document and n-gram `(article_id, term, title_n, body_n, joint_n)`.
 
     Counted inside each Arrow batch by its vectorised grouping, so a repeated word costs one row, not one per
-    occurrence. `joint_n` reads title and body as one sequence, with the bigram across their seam."""
+    occurrence. `joint_n` reads title and body as one sequence, with the bigram across their seam. With `terms`,
+    a vocabulary of at most `max_features` rows, all other n-grams are dropped inside the batch."""
+    kept = None if terms is None else [r.term for r in terms.select("term").collect()]
     rows = docs.select(F.col("article_id").cast("long").alias("article_id"), "title_tokens", "body_tokens")
-    return rows.mapInArrow(_count_batches, "article_id long, term string, title_n long, body_n long, joint_n long")
+    return rows.mapInArrow(lambda batches: _count_batches(batches, kept), "article_id long, term string, title_n long, body_n long, joint_n long")
 
 
 def corpus_warnings(documents: int, cfg: FeatureConfig = FeatureConfig()) -> tuple[list[str], float]:
@@ -94,14 +99,13 @@ def vocabulary(docs: DataFrame, documents: int, cfg: FeatureConfig = FeatureConf
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(article_id, term, count) over title and body read as one sequence; one input row per article."""
-    return gram_counts(docs).join(F.broadcast(terms.select("term")), "term").select("article_id", "term", F.col("joint_n").alias("count"))
+    return gram_counts(docs, terms).select("article_id", "term", F.col("joint_n").alias("count"))
 
 
 def weighted_counts(docs: DataFrame, terms: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """(article_id, term, weight): title and body counted apart, each with its weight; no shuffle."""
     weight = F.col("title_n") * float(cfg.title_weight) + F.col("body_n") * float(cfg.body_weight)
-    kept = gram_counts(docs).join(F.broadcast(terms.select("term")), "term").select("article_id", "term", weight.alias("weight"))
-    return kept.where("weight > 0")
+    return gram_counts(docs, terms).select("article_id", "term", weight.alias("weight")).where("weight > 0")
 
 
 def tfidf(weighted: DataFrame, documents: int) -> DataFrame:
