@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import sharding, url_filter, winnow
+from murmur.llm import bpe, language, sharding, url_filter, winnow
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,34 @@ def _(spark, folder):
     )
 
 
+def tokenizer_text(path: str | None = None) -> str:
+    """JSON text of a tokenizer file, by default the installed word BPE."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+@query("op2_bpe_round_trip")
+def _(spark, folder):
+    definition = tokenizer_text()
+    coded = bpe.encode_documents(table(spark, folder, "documents").select("doc_id", "text"), definition).select("doc_id", "ids")
+    return bpe.decode_documents(coded, definition).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op3_language_id")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    profiles = language.learn(docs.where(language.remainder(F.col("doc_id"), 4) != 2))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", (language.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_sharding")
 def _(spark, folder):
     text = F.coalesce("text", F.lit(""))
