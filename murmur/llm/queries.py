@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import bpe, language, sharding, url_filter, winnow
+from murmur.llm import bpe, decontaminate, language, sharding, url_filter, winnow
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,29 @@ def _(spark, folder):
         winnow.likeness(F.col("_print"), F.col("_edited_print")).alias("near_edited"),
         winnow.likeness(F.col("_print"), F.col("_next_print")).alias("near_next"),
     )
+
+
+_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op9_benchmark_decontamination", f"""
+    WITH b AS (SELECT item_id, regexp_extract_all({_LOW}, {_WORD}) AS w FROM benchmark),
+      win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS g, least(len(w), 10) AS n
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+      sizes AS (SELECT DISTINCT n FROM win),
+      d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, {_WORD}) AS w FROM documents),
+      occ AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+      hit AS (SELECT o.r, o.i, o.n, win.item_id FROM occ o JOIN win ON o.g = win.g AND o.n = win.n),
+      per AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY r),
+      its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN per USING (r) LEFT JOIN its USING (r)""")
+def _(spark, folder):
+    found = decontaminate.decontaminate(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )

@@ -94,7 +94,7 @@ def _ranges(docs: DataFrame, key: str) -> Column | None:
     number = first.cast("long") * MOST_RANGES
     for c in found:
         if c["_l"] is not None and c["_h"] > c["_l"]:
-            parts = min(MOST_RANGES, -(-c["_n"] // RANGE_ROWS))
+            parts = max(2, min(-(-c["_n"] // RANGE_ROWS), MOST_RANGES * c["_n"] // n))
             inner = F.coalesce(even(F.col(key), F.lit(float(c["_l"])), c["_h"], F.lit(parts)), F.lit(0))
             number = F.when(first == c["_c"], F.lit(c["_c"]).cast("long") * MOST_RANGES + inner).otherwise(number)
     return number
@@ -110,7 +110,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     order = [F.col(key).asc_nulls_first(), F.xxhash64(F.col(text))]
     heads = spread.groupBy("_range").agg(F.min(key).alias("_head"), F.sum(F.col(key).isNull().cast("int")).alias("_nulls"))
     heads = heads.select("_range", F.when(F.col("_nulls") == 0, F.col("_head")).alias("_head"))
-    # one row per range (MOST_RANGES and the split ones at most): small enough to send and to order in one place
+    # one row per range, at most 2 * MOST_RANGES + 400: the ids are sent to all, the texts meet their range by shuffle
     first = spread.select("_range", key, text).join(
         F.broadcast(heads), (spread["_range"] == heads["_range"]) & spread[key].eqNullSafe(heads["_head"]), "left_semi"
     ).groupBy("_range").agg(F.min_by(text, F.struct(key, F.xxhash64(F.col(text)))).alias("_first"))
@@ -122,7 +122,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     here = spread.repartition("_range").withColumn("_print", fingerprint(F.col(text)))
     inside = Window.partitionBy("_range").orderBy(*order)
     led = here.withColumn("_lead", F.lead(F.struct(F.col(text).alias("t"), F.col("_print").alias("p"))).over(inside))
-    joined = led.join(F.broadcast(behind), "_range", "left")
+    joined = led.join(behind.hint("merge"), "_range", "left")
     last = F.col("_lead").isNull()
     return joined.select(
         *docs.columns, "_print", F.when(last, F.col("_behind")).otherwise(F.col("_lead.t")).alias("_next"),
