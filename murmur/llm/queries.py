@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import bpe, decontaminate, language, sharding, url_filter, winnow
+from murmur.llm import bpe, decontaminate, jaccard, language, sharding, url_filter, winnow
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,13 @@ def _(spark, folder):
     return found.select("doc_id", (language.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query("op5_ngram_jaccard_join")
+def _(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "class_size", "n_links", "n_doc_links"
+    )
+
+
 @query("op7_sharding")
 def _(spark, folder):
     text = F.coalesce("text", F.lit(""))
