@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import bpe, decontaminate, jaccard, language, sharding, url_filter, winnow
+from murmur.llm import bpe, decontaminate, jaccard, language, sharding, suffix_repeats, url_filter, winnow
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,15 @@ def _(spark, folder):
     return found.select("doc_id", (language.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_suffix_array_dedup")
+def _(spark, folder):
+    cut = suffix_repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
+    return cut.select(
+        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op5_ngram_jaccard_join")
 def _(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select(
