@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import bpe, decontaminate, jaccard, language, sharding, suffix_repeats, url_filter, winnow
+from murmur.llm import bpe, decontaminate, jaccard, language, phrases, sharding, suffix_repeats, url_filter, winnow
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,9 +79,8 @@ def _(spark, folder):
 @query("op4_suffix_array_dedup")
 def _(spark, folder):
     cut = suffix_repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
     return cut.select(
-        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", phrases.removed_units("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
@@ -92,6 +91,12 @@ def _(spark, folder):
     )
 
 
+@query("op6_substring_dedup")
+def _(spark, folder):
+    cut = phrases.remove_later_copies(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", phrases.removed_units("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_sharding")
 def _(spark, folder):
     text = F.coalesce("text", F.lit(""))
