@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import bpe, decontaminate, jaccard, language, phrases, sharding, suffix_repeats, url_filter, winnow
+from murmur.llm import bloom_lm, bpe, decontaminate, jaccard, language, phrases, sharding, suffix_repeats, url_filter, winnow
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def _(spark, folder):
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+@query("op10_lm_scoring")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", language.remainder(F.col("doc_id"), 7) == 2)
+    return bloom_lm.score(docs, docs.where(~F.col("held_out")), ["doc_id", "held_out"])
