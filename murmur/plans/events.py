@@ -99,22 +99,49 @@ def _(t):
 
 
 def run_documents(t):
-    """Vectors as the documents of bounded runs, one run per block of 100 ids."""
+    """Vectors as the documents of runs, one run per block of 100 ids; some have a place, some lack a time or any evidence."""
+    c = F.col("article_id")
+    place = F.when(c % 4 == 0, F.array(F.concat(F.lit("L"), F.floor(c / 4) % 2))).otherwise(F.array().cast("array<string>"))
+    bare = c % 41 == 40
     return vectors(t).select(
-        F.floor(F.col("article_id") / 100).alias("run_id"), "article_id", F.timestamp_seconds(F.lit(1704067200) + F.col("article_id") * 7200).alias("effective_time"),
-        "topic_category", "keywords", F.create_map(F.lit("topic"), F.array("topic_category")).alias("entities"),
-        F.transform("vector", lambda x: x.cast("double")).alias("bge_vector"), F.lit(None).cast("array<double>").alias("tfidf_vector"))
-
-
-@query("E9_cluster_runs", None)
-def _(t):
-    assigned, _large = ev.cluster_runs(run_documents(t))
-    return assigned.select("run_id", "article_id", "cluster_index", "action", "similarity", F.array_join("reasons", ",").alias("reasons"))
-
-
-@query("E9_cluster_corpus", None)
+        F.floor(c / 100).alias("run_id"), "article_id", F.when(c % 13 != 12, F.timestamp_seconds(F.lit(1704067200) + c * 7200)).alias("effective_time"),
+        "topic_category", F.when(~bare, F.col("keywords")).alias("keywords"),
+        F.when(~bare, F.create_map(F.lit("topic"), F.array("topic_category"), F.lit("location"), place)).alias("entities"),
+        F.when(~bare, F.transform("vector", lambda x: x.cast("double"))).alias("bge_vector"), F.lit(None).cast("array<double>").alias("tfidf_vector"))
+
+
+# the same rule from all pairs of a run: places by window, parents by rank, founders by recursion
+_E9 = f"""WITH RECURSIVE {VEC}, d AS (SELECT id // 100 AS run, id, CASE WHEN id % 13 <> 12 THEN id END AS t, coalesce(CASE WHEN id % 13 <> 12 THEN id END, 1000000000000) AS o, topic, kw, v, n,
+      CASE WHEN id % 4 = 0 THEN (id // 4) % 2 END AS loc FROM vec WHERE id % 41 <> 40),
+    filed AS (SELECT run, id, key, row_number() OVER (PARTITION BY run, key ORDER BY o, id) AS p FROM (SELECT run, id, o, 't' || topic AS key FROM d UNION ALL SELECT run, id, o, unnest(kw) FROM d) f),
+    met AS (SELECT DISTINCT a.run, a.id AS later, b.id AS earlier FROM filed a JOIN filed b ON a.run = b.run AND a.key = b.key AND b.p BETWEEN a.p - 20 AND a.p - 1),
+    pairs AS MATERIALIZED (SELECT m.*, b.o AS ob, a.loc IS NOT NULL AND b.loc IS NOT NULL AND a.loc <> b.loc AS clash,
+      round((0.55e0 * {COS} + 0.15e0 * (CASE WHEN a.topic = b.topic THEN 1e0 ELSE 0e0 END + CASE WHEN a.loc = b.loc THEN 1e0 ELSE 0e0 END) / (CASE WHEN a.loc IS NOT NULL AND b.loc IS NOT NULL THEN 2 ELSE 1 END)
+        + coalesce(0.1e0 * pow(0.5e0, abs(a.t - b.t) * 7200e0 / 86400 / 30), 0)) / (0.7e0 + CASE WHEN a.t IS NULL OR b.t IS NULL THEN 0e0 ELSE 0.1e0 END), 6) AS s
+      FROM met m JOIN d a ON a.id = m.later JOIN d b ON b.id = m.earlier),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY later ORDER BY s DESC, ob, earlier) AS r FROM pairs) x WHERE r = 1),
+    told AS MATERIALIZED (SELECT d.run, d.id, d.o, d.loc, b.s, b.clash, CASE WHEN NOT b.clash AND b.s >= 0.55 THEN b.earlier END AS parent FROM d LEFT JOIN best b ON b.later = d.id),
+    up1(id, root) AS (SELECT id, id FROM told WHERE parent IS NULL UNION ALL SELECT t.id, u.root FROM told t JOIN up1 u ON t.parent = u.id),
+    cut AS MATERIALIZED (SELECT t.*, coalesce(t.loc <> h.loc, false) AS split FROM told t JOIN up1 u ON u.id = t.id JOIN told h ON h.id = u.root),
+    up2(id, root) AS (SELECT id, id FROM cut WHERE parent IS NULL OR split UNION ALL SELECT t.id, u.root FROM cut t JOIN up2 u ON t.parent = u.id WHERE NOT t.split),
+    placed AS MATERIALIZED (SELECT c.*, u.root, c.parent IS NOT NULL AND NOT c.split AS follows FROM cut c JOIN up2 u ON u.id = c.id),
+    means AS (SELECT x.id, p.root AS home, round(avg(x.s), 6) AS m, bool_or(x.clash) AS bad FROM (SELECT later AS id, earlier AS other, s, clash FROM pairs UNION ALL SELECT earlier, later, s, clash FROM pairs) x JOIN placed p ON p.id = x.other GROUP BY x.id, p.root),
+    stay AS (SELECT p.id, coalesce(max(m.m), 0) AS stay FROM placed p LEFT JOIN means m ON m.id = p.id AND m.home = p.root WHERE p.follows GROUP BY p.id),
+    go AS (SELECT s.id, m.home, m.m FROM stay s JOIN placed p ON p.id = s.id JOIN means m ON m.id = s.id AND m.home <> p.root AND NOT m.bad
+      QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY m.m DESC, (p.run || ':' || m.home) DESC) = 1),
+    final AS (SELECT p.*, g.m AS gm, coalesce(g.home, p.root) AS c FROM placed p LEFT JOIN (SELECT go.* FROM go JOIN stay USING (id) WHERE go.m >= 0.55 AND round(go.m - stay.stay, 6) >= 0.1) g ON g.id = p.id),
+    numbered AS (SELECT run, c, row_number() OVER (PARTITION BY run ORDER BY min(struct_pack(o := o, id := id))) - 1 AS no FROM final GROUP BY run, c)
+    SELECT f.run AS run_id, f.id AS article_id, n.no AS cluster_index, CASE WHEN gm IS NOT NULL THEN 'moved' WHEN follows THEN 'attach' ELSE 'create' END AS action, coalesce(gm, s, 0e0) AS similarity,
+      concat_ws(',', CASE WHEN clash OR (NOT follows AND split) THEN 'LOCATION_CONFLICT' END, CASE WHEN NOT follows AND NOT clash AND s >= 0.4 AND s < 0.55 THEN 'AMBIGUOUS_AFTER_REFINEMENT' END, CASE WHEN gm IS NOT NULL THEN 'MOVE_MARGIN_MET' END) AS reasons,
+      CASE WHEN s IS NULL THEN '' ELSE 'TFIDF_UNAVAILABLE' END AS warnings
+    FROM final f JOIN numbered n ON n.run = f.run AND n.c = f.c
+    UNION ALL SELECT id // 100, id, NULL, 'deferred', 0e0, 'INSUFFICIENT_EVIDENCE', '' FROM vec WHERE id % 41 = 40"""
+
+
+@query("E9_cluster_runs", _E9)
 def _(t):
-    return ev.cluster_corpus(run_documents(t))
+    return ev.cluster_runs(run_documents(t)).select(
+        "run_id", "article_id", "cluster_index", "action", "similarity", F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("E10_nearest_event", f"""WITH {VEC}, b AS (SELECT * FROM vec WHERE id % 10 = 0), s AS (SELECT a.id AS article_id, b.id AS event_id, round({COS}, 6) AS s FROM vec a CROSS JOIN b WHERE a.id % 10 <> 0),
