@@ -6,9 +6,9 @@ there it is the one that may follow the state it leaves behind, so a prefix shar
 word's encoding is read back along the states. Two tokens may stand side by side when no merge across their border would
 have come before the merges that built them.
 
-Texts are cut at white space first, which no token crosses; encoded pieces are kept per task in a bounded table.
-Normalisation: NFC, lower case, the file's split pattern. A piece with a code point that this Python's character database
-does not know is normalised by the tokenizers library itself, since the two may know different Unicode versions.
+Encoded words are kept per Python worker in a bounded table. Normalisation: NFC, lower case, the file's split pattern. A
+text with a code point that this Python's character database does not know is normalised by the tokenizers library itself,
+since the two may know different Unicode versions. Decoding looks ids up in a table of token texts, in the JVM.
 
 Defined cases: null and empty text give no ids; no ids give the empty text; strings of added tokens are those tokens;
 repeated rows are encoded each; no rows give no rows; a column named like the result is replaced."""
@@ -25,10 +25,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, types as T
-
-#: Entries of the tables that a task keeps (pieces, and pairs of tokens); a full table is started anew.
-KEPT_PIECES, KEPT_PAIRS = 300_000, 1_000_000
+from pyspark.sql import DataFrame, functions as F, types as T
+
+#: Entries of the tables that a worker keeps (words, and pairs of tokens); a full table is started anew.
+KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
+# fixed values: the split pattern of the word BPE, and forms of it that match the same and faster
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9]+", re.ASCII)
+_OTHER = regex.compile(r"\p{L}+|\p{N}|'(?:[stmd]|re|ve|ll)|[^\s\p{L}\p{N}]+")
 _END = "\n"  # stands for the word end; no symbol of a word
 _FOREVER = sys.maxsize
 
@@ -56,7 +60,7 @@ class WordBpe:
         self.added = {t["content"]: np.int32(t["id"]).tobytes() for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._words = regex.compile(split)
+        self._ascii, self._other = (_ASCII, _OTHER) if split == _PATTERN else (regex.compile(split),) * 2
         self._bytes = dict(enumerate(_byte_symbols()))
         self.made: dict[int, tuple[int, int, int]] = {}  # token: rank of its merge, left part, right part
         self.pairs: dict[tuple[int, int], int] = {}
@@ -66,16 +70,10 @@ class WordBpe:
             self.pairs[left, right] = rank
             self.made[whole] = (rank, left, right)
         self.tokens = {key(t): i for t, i in self.vocabulary.items() if i not in self.made or self.apart_inside(i)}
-        sizes: dict[str, set[int]] = {}  # by a token's last two symbols: how many symbols such tokens have
-        for token in self.tokens:
-            symbols = len(token) - token.endswith(_END)
-            if symbols > 1:
-                sizes.setdefault(token[symbols - 2 :], set()).add(symbols)
-        self.sizes = {tail: (*sorted(n, reverse=True), 1) for tail, n in sizes.items()}
-        self._beside: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._build_suffixes()
+        self._beside: dict[int, bool] = {}
+        self._known: dict[str, bytes] = {}
         self._library = None
-        self._unknown = None
 
     def apart_inside(self, token: int) -> bool:
         """Whether the token's own text is encoded as the token: its two parts must come about unhindered."""
@@ -101,67 +99,98 @@ class WordBpe:
                 right_until, right = b[0], b[1]
 
     def beside(self, left: int, right: int) -> bool:
-        known = self._beside.get((left, right))
+        known = self._beside.get(left << 32 | right)
         if known is None:
             if len(self._beside) >= KEPT_PAIRS:
                 self._beside.clear()
-            known = self._beside[left, right] = self._may_meet(left, right)
+            known = self._beside[left << 32 | right] = self._may_meet(left, right)
         return known
 
+    def _build_suffixes(self) -> None:
+        """An automaton over the token texts whose state knows all tokens that end where it stands, longest first."""
+        self._next: list[dict[str, int]] = [{}]
+        here: list[tuple[int, int] | None] = [None]
+        for text, token in self.tokens.items():
+            state = 0
+            for symbol in text:
+                state = self._next[state].setdefault(symbol, len(self._next))
+                if state == len(self._next):
+                    self._next.append({})
+                    here.append(None)
+            here[state] = (token, len(text) - text.endswith(_END))
+        self._shorter = [0] * len(here)  # the state of the longest proper ending
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(here)
+        self._moves: dict[int, int] = {}
+        queue = [0]
+        for state in queue:
+            for symbol, after in self._next[state].items():
+                queue.append(after)
+                self._shorter[after] = self._step(self._shorter[state], symbol) if state else 0
+                own = here[after]
+                self.ending[after] = ((own,) if own else ()) + self.ending[self._shorter[after]]
+
+    def _step(self, state: int, symbol: str) -> int:
+        while symbol not in self._next[state]:
+            if not state:
+                return 0
+            state = self._shorter[state]
+        return self._next[state][symbol]
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Encodings of distinct words of byte symbols. Sorted words walk their trie depth first."""
-        out, path, before = {}, [(-1, 0)], ""  # path[i]: last token of the prefix of i symbols, and its length
-        tokens, sizes, beside, single = self.tokens, self.sizes, self.beside, (1,)
+        out, before = {}, ""
+        last, sizes, states = [-1], [0], [0]  # per prefix length: last token, its symbols, state of the token endings
+        ending, moves, beside, get = self.ending, self._moves, self.beside, self._beside.get
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word) - 1, len(path) - 1)
+            length = len(word)
+            shared, most = 0, min(len(before), length - 1, len(states) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared + 1 :]
-            length, closed = len(word), word + _END
-            for end in range(shared + 1, length + 1):
-                to = end + (end == length)
-                for size in sizes.get(closed[end - 2 : to], single) if end > 1 else single:
-                    if size <= end:
-                        token = tokens.get(closed[end - size : to])
-                        if token is not None and (size == end or beside(path[end - size][0], token)):
-                            break
-                path.append((token, size))
-            at, ids = len(word), []
+            del last[shared + 1 :], sizes[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
+            for at in range(shared, length):
+                symbol = word[at]
+                after = moves.get(state << 10 | ord(symbol))
+                if after is None:
+                    after = moves[state << 10 | ord(symbol)] = self._step(state, symbol)
+                state = after
+                for token, size in ending[self._step(state, _END) if at + 1 == length else state]:
+                    if size > at:
+                        break
+                    left = last[at + 1 - size]
+                    known = get(left << 32 | token)
+                    if known or (known is None and beside(left, token)):
+                        break
+                last.append(token)
+                sizes.append(size)
+                states.append(state)
+            ids, at = [], length
             while at:
-                token, size = path[at]
-                ids.append(token)
-                at -= size
-            path.pop()  # the last symbol carries the word end and is no prefix of another word
-            out[word], before = ids[::-1], word
+                ids.append(last[at])
+                at -= sizes[at]
+            # the last symbol carries the word end and is no prefix of another word
+            last.pop(), sizes.pop(), states.pop()
+            ids.reverse()
+            out[word], before = ids, word
         return out
 
-    def _split(self, piece: str) -> list[str]:
-        if piece.isascii():
-            parts = self._words.findall(piece.lower())
-        elif not self._strange(piece):
-            normal = unicodedata.normalize("NFC", piece)
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, normalised."""
+        if text.isascii():
+            return self._ascii.findall(text.lower())
+        if not self._strange(text):
+            normal = unicodedata.normalize("NFC", text)
             # letter by letter: the lower case of a sigma does not depend on its place
-            parts = self._words.findall("".join(map(str.lower, normal)) if "Σ" in normal else normal.lower())
-        else:
-            lib = self._tokenizers()
-            parts = []
-            normal = lib.normalizer.normalize_str(piece)
-            return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(normal)]
-        return ["".join(map(self._bytes.__getitem__, p.encode())) for p in parts]
-
-    def _strange(self, piece: str) -> bool:
-        """Whether the piece has a code point that is unassigned in this Python's character database."""
-        if self._unknown is None:
-            runs, start = [], None
-            for c in range(0x110001):
-                free = c <= 0x10FFFF and unicodedata.category(chr(c)) == "Cn"
-                if free and start is None:
-                    start = c
-                elif not free and start is not None:
-                    runs.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                    start = None
-            self._unknown = re.compile("[" + "".join(runs) + "]")
-        return self._unknown.search(piece) is not None
+            return self._other.findall("".join(map(str.lower, normal)) if "Σ" in normal else normal.lower())
+        lib = self._tokenizers()
+        normal = lib.normalizer.normalize_str(text)
+        back = {s: b for b, s in self._bytes.items()}
+        return [bytes(back[c] for c in p).decode() for p, _ in lib.pre_tokenizer.pre_tokenize_str(normal)]
+
+    @staticmethod
+    def _strange(text: str) -> bool:
+        """Whether the text has a code point that is unassigned in this Python's character database."""
+        return any(unicodedata.category(c) == "Cn" for c in set(text))
 
     def _tokenizers(self):
         if self._library is None:
@@ -172,22 +201,22 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        # white space of the split pattern; str.split() also cuts at four control characters, which are symbols here
-        cut = lambda t: t.split() if not _CONTROL.search(t) else [p for p in _SPACE.split(t) if p]
-        pieces = [
-            list(chain.from_iterable((p,) if i % 2 else cut(p) for i, p in enumerate(self._cut.split(t)))) if "<|" in t and self._cut.search(t) else cut(t)
-            for t in texts
-        ]
-        if len(self._pieces) > KEPT_PIECES:
-            self._pieces = dict(self.added)
-        elif not self._pieces:
-            self._pieces.update(self.added)
-        known = self._pieces
-        fresh = {p: self._split(p) for p in set(chain.from_iterable(pieces)) if p not in known}
-        encoded = self.encode_words(set(chain.from_iterable(fresh.values())))
-        for piece, words in fresh.items():
-            known[piece] = array("i", chain.from_iterable([encoded[w] for w in words])).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in pieces]
+        words = []
+        for text in texts:
+            if any(token in text for token in self.added):
+                parts = enumerate(self._cut.split(text))
+                words.append(list(chain.from_iterable((p,) if i % 2 else self._split(p) for i, p in parts)))
+            else:
+                words.append(self._split(text))
+        known = self._known
+        if len(known) > KEPT_WORDS or not known:
+            known.clear()
+            known.update(self.added)  # no word of the pattern reads like an added token
+        fresh = {w: "".join(map(self._bytes.__getitem__, w.encode())) for w in set(chain.from_iterable(words)) - known.keys()}
+        encoded = self.encode_words(fresh.values())
+        for word, symbols in fresh.items():
+            known[word] = array("i", encoded[symbols]).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by spaces, as a file without a decoder does; unknown ids are left out."""
@@ -200,10 +229,6 @@ def loaded(definition: str) -> WordBpe:
     return WordBpe(definition)
 
 
-_CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # fixed: white space of the pattern
-
-
 def encode_documents(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids (array of int) of every text. `definition` is the JSON text of the tokenizer file, some MB at most."""
     kept = docs.drop(ids)
@@ -223,14 +248,11 @@ def encode_documents(docs: DataFrame, definition: str, text: str = "text", ids:
 
 
 def decode_documents(docs: DataFrame, definition: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the text of every array of ids; null ids read as none."""
-    kept = docs.drop(text)
-    sent, at = docs.sparkSession.sparkContext.broadcast(definition), kept.columns.index(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(sent.value)
-        for batch in batches:
-            texts = [bpe.decode(v or ()) for v in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
+    """Adds the text of every array of ids, as a file without a decoder reads: token texts joined by spaces.
+
+    Null ids read as none, unknown ids are left out. The table of token texts is one constant of the plan."""
+    texts = loaded(definition).texts
+    mark = "\x01"  # in no token
+    table = F.split(F.lit(mark.join(texts.get(i, "") for i in range(max(texts) + 1))), mark)
+    known = F.filter(F.transform(F.col(ids), lambda i: F.get(table, i)), lambda t: t != "")
+    return docs.withColumn(text, F.coalesce(F.array_join(known, " "), F.lit("")))
