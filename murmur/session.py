@@ -1,6 +1,7 @@
 """Session settings and lineage cutting."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -42,18 +43,20 @@ def local_session(cores: str = "8", name: str = "murmur", **conf: str) -> SparkS
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names, so lost executors cost no recomputation.
-
-    A private folder is made only for a local master with no folder configured."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """The rows as a table in the folder the cluster names in spark.checkpoint.dir: lost executors cost no recomputation.
+
+    A table is read back without what the planner knew of the plan before it; a checkpoint hands that on, and in a loop
+    of self joins it doubles every round. A private folder is made only for a local master with no folder configured."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fence(df: DataFrame) -> DataFrame:

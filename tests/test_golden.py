@@ -187,11 +187,11 @@ def test_clustering_attach_ambiguous_conflict(spark):
 
 
 def test_a_run_of_any_size_comes_back_whole(spark):
-    docs = spark.range(3000).selectExpr(
+    docs = spark.range(1000).selectExpr(
         "7L AS run_id", "id AS article_id", "timestamp_seconds(id * 60) AS effective_time", "'t' AS topic_category", "array('k') AS keywords",
         "map('topic', array('t')) AS entities", "array(cos(id % 3), sin(id % 3)) AS bge_vector", "CAST(NULL AS ARRAY<DOUBLE>) AS tfidf_vector")
     got = events.cluster_runs(docs).collect()
-    assert len(got) == 3000 and {r.action for r in got} <= {"attach", "create", "moved"} and len({r.cluster_index for r in got}) == 1 + max(r.cluster_index for r in got)
+    assert len(got) == 1000 and {r.action for r in got} <= {"attach", "create", "moved"} and len({r.cluster_index for r in got}) == 1 + max(r.cluster_index for r in got)
 
 
 def test_extraction_paths(spark):
