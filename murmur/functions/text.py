@@ -207,7 +207,7 @@ def parse_metric(value: Column) -> Column:
     )
     truth = F.when(text == "true", 1).when(text == "false", 0)
     # greatest() skips nulls, so an unreadable text must be kept apart from zero
-    return F.coalesce(truth.cast("long"), F.when(number.isNotNull(), F.greatest(F.lit(0), (number * factor).cast("long"))))
+    return F.coalesce(truth.cast("long"), F.when((number * factor).try_cast("long").isNotNull(), F.greatest(F.lit(0).cast("long"), (number * factor).try_cast("long"))))
 
 
 _TIME_FORMATS = (

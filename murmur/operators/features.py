@@ -321,13 +321,18 @@ def article_top_keywords(keywords: DataFrame, count: int = 5) -> DataFrame:
 # ---- model answers for keywords
 
 def keyword_requests(docs: DataFrame, size: int = 5, span: int = 5000) -> DataFrame:
-    """Texts of at least 20 characters, cut to 800, in batches of up to five.
+    """Texts of at least 20 characters, cut to 800, in batches of five by ascending id (only the last can be smaller).
 
-    Batches are cut inside ranges of article ids, so numbering them needs no global order."""
+    Rows are numbered inside ranges of ids and shifted by the rows of the ranges before, which are summed in two levels."""
     text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join("body_tokens", " ")))
     rows = docs.select("article_id", text.alias("text")).where(F.length("text") >= 20).withColumn("range", F.floor(F.col("article_id") / span))
-    number = F.row_number().over(W.partitionBy("range").orderBy("article_id"))
-    return rows.withColumn("batch", F.floor((number - 1) / size)).groupBy("range", "batch").agg(
+    ranges = rows.groupBy("range").agg(F.count("*").alias("_n")).withColumn("_part", F.floor(F.col("range") / span))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    parts = ranges.groupBy("_part").agg(F.sum("_n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before(W.orderBy("_part"))), F.lit(0)).alias("_far"))
+    near = ranges.withColumn("_near", F.coalesce(F.sum("_n").over(before(W.partitionBy("_part").orderBy("range"))), F.lit(0)))
+    shift = near.join(parts, "_part").select("range", (F.col("_near") + F.col("_far")).alias("_shift"))
+    number = F.row_number().over(W.partitionBy("range").orderBy("article_id")) + F.col("_shift")
+    return rows.join(shift, "range").withColumn("batch", F.floor((number - 1) / size)).groupBy("batch").agg(
         F.array_sort(F.collect_list(F.struct("article_id", F.substring("text", 1, 800).alias("text")))).alias("documents"))
 
 
@@ -389,8 +394,10 @@ def centroids(rows: DataFrame, by: list[str], vector: str = "vector", unit: bool
 
 
 def missing_embeddings(docs: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Documents without a stored vector for their content and model versions, with the text to encode."""
-    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.substring("clean_content", 1, 2000))
+    """Documents without a stored vector for their content and model versions, with the text to encode: title and body
+    on two lines, stripped, then cut at 2,000 characters."""
+    both = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("clean_content", F.lit("")))
+    text = F.substring(F.regexp_replace(both, "^\\s+|\\s+$", ""), 1, 2000)
     return docs.withColumn("embedding_text", text).join(stored.select(*key), key, "left_anti")
 
 

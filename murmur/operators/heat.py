@@ -47,12 +47,23 @@ def coalesce_metrics(articles: DataFrame, snapshots: DataFrame) -> DataFrame:
     ).drop(*[f"_s_{m}" for m in METRICS])
 
 
+def _json_empty(value: Column) -> Column:
+    """Absent, null, zero, false or empty text: the next key is asked instead."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    zero = F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False)) & (kind != "STRING") & (kind != "BOOLEAN")
+    return value.isNull() | (kind == "VOID") | zero | ((kind == "STRING") & (text == "")) | ((kind == "BOOLEAN") & (text == "false"))
+
+
+def _json_int(value: Column) -> Column:
+    """A whole JSON number; a number in quotes or any other text is no rank."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "int"))
+
+
 def hotlist_ranks(expansions: DataFrame, hot_articles: DataFrame) -> DataFrame:
     """Rank evidence per event: seed expansion rows plus the list position in a hot-list article's payload."""
-    own = F.coalesce(
-        F.nullif(F.get_json_object("raw_json", "$.rank").cast("int"), F.lit(0)),
-        F.get_json_object("raw_json", "$.realpos").cast("int"),
-    )
+    payload = F.try_parse_json("raw_json")
+    rank, place = (F.try_variant_get(payload, f"$.{k}", "variant") for k in ("rank", "realpos"))
+    own = _json_int(F.when(_json_empty(rank), place).otherwise(rank))
     from_payload = hot_articles.where(F.col("source_type") == "hotlist").select(
         "event_id", own.alias("hot_rank")
     )

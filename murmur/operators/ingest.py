@@ -30,10 +30,6 @@ WEIBO_CLASS = "detail_wbtext_4CRf9"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-def _lit_struct_map(values: dict) -> Column:
-    return tx.literal_map(values)
-
-
 def normalize(docs: DataFrame) -> DataFrame:
     """Typed, canonical fields of raw documents; `norm_error` marks rows without identity or content."""
     short = ("platform", "source_article_id", "title", "author", "author_id")

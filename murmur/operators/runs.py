@@ -4,8 +4,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from murmur.functions.ranking import top_per_group
 from murmur.functions.text import SPACE
+from murmur.operators.dedup import connected_components
 
-FAN_OUT = 4096
+FAN_BITS = 12
+FAN_OUT = 1 << FAN_BITS
 
 
 def query_fingerprint(mode: Column, keyword: Column, platforms: Column) -> Column:
@@ -20,11 +22,12 @@ def query_fingerprint(mode: Column, keyword: Column, platforms: Column) -> Colum
 def dataset_hash(rows: DataFrame, run: str = "run_id") -> DataFrame:
     """Order-free digest of the `(article_id, identity)` rows of each run.
 
-    Identities are hashed in a tree of id ranges with a fixed fan-out, so no task ever concatenates more
-    than `FAN_OUT` entries however many articles one run freezes."""
-    level = rows.groupBy(run, F.floor(F.col("article_id") / FAN_OUT).alias("_node")).agg(_digest("article_id", "identity"))
-    for _ in range(4):
-        level = level.groupBy(run, F.floor(F.col("_node") / FAN_OUT).alias("_up")).agg(_digest("_node", "_hash")).withColumnRenamed("_up", "_node")
+    Identities are hashed in a tree of id ranges with a fixed fan-out, so no task ever concatenates more than `FAN_OUT`
+    entries (unless ids repeat) however many articles one run freezes. Six levels of 12 bits take in every 64-bit id,
+    negative ones read as unsigned, so each run ends in one node."""
+    level = rows.groupBy(run, F.shiftrightunsigned("article_id", FAN_BITS).alias("_node")).agg(_digest("article_id", "identity"))
+    for _ in range(5):
+        level = level.groupBy(run, F.shiftrightunsigned("_node", FAN_BITS).alias("_up")).agg(_digest("_node", "_hash")).withColumnRenamed("_up", "_node")
     return level.select(run, F.col("_hash").alias("dataset_hash"))
 
 
@@ -33,10 +36,6 @@ def _digest(key: str, value: str) -> Column:
     return F.sha2(F.array_join(parts, "\n"), 256).alias("_hash")
 
 
-def topic_signature(terms: Column) -> Column:
-    return F.sha2(F.to_json(terms), 256)
-
-
 def changed_identities(frozen: DataFrame, current: DataFrame) -> DataFrame:
     """Frozen rows whose content identity is gone or differs now; an empty result lets the run go on."""
     now = current.select("article_id", F.col("identity").alias("_now"))
@@ -92,8 +91,14 @@ def upsert_articles(existing: DataFrame, incoming: DataFrame, id_base: Column |
 
     `existing(article_id, platform, source_article_id, url_hash, raw_hash, content_version, title, ...)`,
     `incoming(doc_id, platform, source_article_id, url_hash, raw_hash, title, crawled_at)`."""
-    matched = match_existing(incoming, existing).withColumn(
-        "_key", F.coalesce(F.concat(F.lit("a"), F.col("matched_id").cast("string")), F.concat(F.lit("u"), F.col("url_hash"))))
+    found = match_existing(incoming, existing)
+    # new rows are one article if an address or a (platform, source id) connects them
+    by_url, by_source = F.concat(F.lit("u"), F.col("url_hash")), F.concat_ws(":", F.lit("s"), "platform", "source_article_id")
+    ties = found.where("matched_id is null and url_hash is not null and platform is not null and source_article_id is not null")
+    groups = connected_components(ties.select(by_url.alias("src"), by_source.alias("dst")).distinct())
+    single = F.when(F.col("url_hash").isNotNull(), by_url).when(F.col("source_article_id").isNotNull(), by_source).otherwise(F.concat(F.lit("d"), F.col("doc_id")))
+    matched = found.withColumn("_node", single).join(groups.select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn(
+        "_key", F.coalesce(F.concat(F.lit("a"), F.col("matched_id").cast("string")), "component", "_node")).drop("_node", "component")
     latest = matched.groupBy("_key").agg(
         F.max_by(F.struct("doc_id", "platform", "source_article_id", "url_hash", "raw_hash", "title", "crawled_at"),
                  F.struct("crawled_at", "doc_id")).alias("n"),

@@ -173,11 +173,11 @@ def _(t):
     return features.merge_keywords(parsed, own)
 
 
-@query("F11_keyword_requests", f"""WITH {_DOC}, r AS (SELECT article_id, length(trim(substr(d2.title, 1) || ' ' || array_to_string(bt, ' '))) AS n, article_id // 5000 AS range FROM doc JOIN (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM documents) d2 ON d2.doc_id = article_id)
-  SELECT range, batch, count(*) AS documents, sum(least(800, n))::BIGINT AS characters FROM (SELECT *, (row_number() OVER (PARTITION BY range ORDER BY article_id) - 1) // 5 AS batch FROM r WHERE n >= 20) x GROUP BY 1, 2""")
+@query("F11_keyword_requests", f"""WITH {_DOC}, r AS (SELECT article_id, length(trim(substr(d2.title, 1) || ' ' || array_to_string(bt, ' '))) AS n, 0 AS range FROM doc JOIN (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS title FROM documents) d2 ON d2.doc_id = article_id)
+  SELECT batch, count(*) AS documents, sum(least(800, n))::BIGINT AS characters FROM (SELECT *, (row_number() OVER (ORDER BY article_id) - 1) // 5 AS batch FROM r WHERE n >= 20) x GROUP BY 1""")
 def _(t):
     out = features.keyword_requests(docs(t))
-    return out.select("range", "batch", F.size("documents").cast("long").alias("documents"),
+    return out.select("batch", F.size("documents").cast("long").alias("documents"),
                       F.aggregate("documents", F.lit(0).cast("long"), lambda a, d: a + F.length(d["text"])).alias("characters"))
 
 
@@ -231,7 +231,7 @@ def _(t):
     return rows.select("article_id", "norm", F.round(F.col("u")[0], 6).alias("first"))
 
 
-@query("F20_missing_embeddings", """SELECT doc_id AS article_id, 64 AS dimension, length(substr(split_part(text, chr(10), 1), 1, 80)) + 1 + least(2000, length(text)) AS size FROM documents WHERE doc_id % 2 = 1""")
+@query("F20_missing_embeddings", """SELECT doc_id AS article_id, 64 AS dimension, length(substr(regexp_replace(substr(split_part(text, chr(10), 1), 1, 80) || chr(10) || text, '^\\s+|\\s+$', '', 'g'), 1, 2000)) AS size FROM documents WHERE doc_id % 2 = 1""")
 def _(t):
     d = docs(t).select("article_id", "title", "clean_content", F.lit("m1").alias("model"))
     stored = t.documents.where("doc_id % 2 = 0").selectExpr("doc_id AS article_id", "'m1' AS model")

@@ -216,7 +216,16 @@ def _(t):
     return t.events.select("event_id", runs.query_fingerprint(F.lit(" Search "), F.expr("concat(' KW  ', user_id, ' ')"), F.array(F.lit("Weibo"), F.col("event_type"), F.lit("weibo"))).alias("fingerprint"))
 
 
-@query("N22_dataset_hash", None)
+def _tree_sql(levels: int = 6) -> str:
+    entry = lambda key, value: f"sha256(string_agg(lpad(CAST({key} AS VARCHAR), 20, '0') || ':' || {value}, chr(10) ORDER BY lpad(CAST({key} AS VARCHAR), 20, '0') || ':' || {value}))"
+    sql = f"SELECT user_id % 5 AS run, event_id >> 12 AS node, {entry('event_id', "('article:' || CAST(event_id AS VARCHAR) || ':v1')")} AS h FROM events GROUP BY 1, 2"
+    for _ in range(levels - 1):
+        sql = f"SELECT run, node >> 12 AS up, {entry('node', 'h')} AS hh FROM ({sql}) x GROUP BY 1, 2"
+        sql = f"SELECT run, up AS node, hh AS h FROM ({sql}) y"
+    return f"SELECT run AS run_id, h AS dataset_hash FROM ({sql}) z"
+
+
+@query("N22_dataset_hash", _tree_sql())
 def _(t):
     rows = t.events.selectExpr("user_id % 5 AS run_id", "event_id AS article_id", "concat('article:', event_id, ':v1') AS identity")
     return runs.dataset_hash(rows)

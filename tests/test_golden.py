@@ -236,3 +236,42 @@ def test_pair_scorer_replaces_token_overlap(spark):
     same = hooks.pair_scorer(lambda a, b: 2.0 if a == b else -1.0)
     df = spark.createDataFrame([("x", "x"), ("x", "y")], "a string, b string").select(same("a", "b").alias("s"))
     assert [r.s for r in df.collect()] == [1.0, 0.0]
+
+
+def test_only_whole_json_numbers_are_list_ranks(spark):
+    rows = [(1, '{"rank": "新"}'), (2, '{"rank": "3", "realpos": 4}'), (3, '{"rank": 0, "realpos": 5}'), (4, '{"rank": 7}'), (5, '{"rank": null, "realpos": 2}'), (6, "no json"), (7, None)]
+    listed = spark.createDataFrame(rows, "event_id long, raw_json string").withColumn("source_type", F.lit("hotlist"))
+    seeds = spark.createDataFrame([], "event_id long, source_rank int")
+    assert {r.event_id: r.hot_rank for r in heat.hotlist_ranks(seeds, listed).collect()} == {3: 5, 4: 7, 5: 2}
+
+
+def test_huge_metric_is_unknown(spark):
+    assert one(spark, tx.parse_metric(F.lit("99999999999999999999亿"))) is None
+
+
+def test_new_rows_with_one_source_id_are_one_article(spark):
+    from murmur.operators import runs
+
+    old = spark.createDataFrame([], "article_id long, platform string, source_article_id string, url_hash string, raw_hash string, content_version int, title string")
+    new = spark.createDataFrame([(1, "p", "s1", "u1", "h", "t", 1), (2, "p", "s1", "u2", "h", "t", 2), (3, "p", None, "u2", "h", "t", 3), (4, "q", "s1", "u4", "h", "t", 4)],
+        "doc_id long, platform string, source_article_id string, url_hash string, raw_hash string, title string, crawled_at long")
+    assert sorted((r.article_id, r.action) for r in runs.upsert_articles(old, new).collect()) == [(1, "created"), (4, "created")]
+
+
+def test_sparse_ids_fill_batches(spark):
+    docs = spark.range(10).selectExpr("id * 1000000007 AS article_id", "'a title of twenty letters or more' AS title", "array('x') AS body_tokens")
+    assert sorted(len(r.documents) for r in features.keyword_requests(docs).collect()) == [5, 5]
+
+
+def test_embedding_text_is_cut_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, " ti", "b" * 3000), (2, None, " x ")], "article_id long, title string, clean_content string")
+    stored = spark.createDataFrame([], "article_id long")
+    got = {r.article_id: r.embedding_text for r in features.missing_embeddings(docs, stored, ["article_id"]).collect()}
+    assert got == {1: "ti\n" + "b" * 1997, 2: "x"}
+
+
+def test_one_digest_per_run_for_any_id(spark):
+    from murmur.operators import runs
+
+    rows = spark.createDataFrame([(1, -5, "a"), (1, 1 << 61, "b"), (1, 7, "c"), (2, 7, "c")], "run_id long, article_id long, identity string")
+    assert sorted(r.run_id for r in runs.dataset_hash(rows).collect()) == [1, 2]
