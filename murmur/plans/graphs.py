@@ -9,12 +9,13 @@ from murmur.plans.registry import query, with_views
 
 
 def articles(t):
-    """Documents as reports of 25 events; a third of them name an author they follow, some a parent id."""
-    a = t.article
+    """Documents as reports of 8 events (125 each at sf0.01), some undated; a third name an author, some the id of an
+    earlier article or of an undated one, which lies behind the published 40."""
     c = F.col("article_id")
+    a = t.article.withColumn("event_id", c % 8).withColumn("publish_time", F.when(c % 11 != 5, F.col("publish_time")))
     text = F.when(c % 6 == 1, F.concat(F.lit("//@author "), (c - 25).cast("string"), F.lit(" : "), "clean_content")).otherwise(F.col("clean_content"))
-    payload = F.when(c % 10 == 7, F.concat(F.lit('{"parent_id": '), (c - 50).cast("string"), F.lit("}"))).when(
-        c % 10 == 8, F.concat(F.lit('{"retweeted_status": {"mid": "'), (c - 25).cast("string"), F.lit('"}}'))).otherwise(F.lit("{}"))
+    payload = F.when(c % 10 == 7, F.concat(F.lit('{"parent_id": '), (c - 48).cast("string"), F.lit("}"))).when(
+        c % 10 == 8, F.concat(F.lit('{"retweeted_status": {"mid": "'), (c + 8 * F.pmod(7 * (5 - c), F.lit(11))).cast("string"), F.lit('"}}'))).otherwise(F.lit("{}"))
     return a.withColumns({
         "clean_content": text, "raw_content": F.lit(""), "raw_json": payload, "author": F.when(c % 17 != 0, F.concat(F.lit("author"), c.cast("string"))),
         "author_type": F.when(c % 41 == 0, "official"), "author_followers": F.when(c % 29 == 0, 600_000).otherwise(10), "source_article_id": F.lit(None).cast("string"),
@@ -22,18 +23,19 @@ def articles(t):
         "entities": F.create_map().cast("map<string,array<string>>")})
 
 
-_ART = """art AS MATERIALIZED (SELECT doc_id AS id, doc_id % 25 AS event_id, source AS platform, substr(split_part(text, chr(10), 1), 1, 80) AS title,
+_ART = """art AS MATERIALIZED (SELECT doc_id AS id, doc_id % 8 AS event_id, source AS platform, substr(split_part(text, chr(10), 1), 1, 80) AS title,
     CASE WHEN doc_id % 6 = 1 THEN '//@author ' || CAST(doc_id - 25 AS VARCHAR) || ' : ' || text ELSE text END AS body, CASE WHEN doc_id % 17 <> 0 THEN 'author' || CAST(doc_id AS VARCHAR) END AS author,
-    CASE WHEN doc_id % 10 = 7 THEN doc_id - 50 WHEN doc_id % 10 = 8 THEN doc_id - 25 END AS pid, doc_id * 3600 AS t, doc_id % 4 AS k, doc_id % 97 + doc_id % 31 + doc_id % 211 AS inter FROM documents),
-  ev AS MATERIALIZED (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || substr(body, 1, 300)), '[a-z0-9_]{2,}')) AS tok, CASE WHEN id % 6 = 1 THEN 'author' END AS nm, row_number() OVER (PARTITION BY event_id ORDER BY t, id) AS ord FROM art),
+    CASE WHEN doc_id % 10 = 7 THEN doc_id - 48 WHEN doc_id % 10 = 8 THEN doc_id + 8 * (((7 * (5 - doc_id)) % 11 + 11) % 11) END AS pid, CASE WHEN doc_id % 11 <> 5 THEN doc_id * 3600 END AS t, doc_id % 4 AS k, doc_id % 97 + doc_id % 31 + doc_id % 211 AS inter FROM documents),
+  ev AS MATERIALIZED (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || substr(body, 1, 300)), '[a-z0-9_]{2,}')) AS tok, CASE WHEN id % 6 = 1 THEN 'author' END AS nm, row_number() OVER (PARTITION BY event_id ORDER BY t NULLS LAST, id) AS ord FROM art),
   pair AS MATERIALIZED (SELECT c.event_id, c.id AS c, p.id AS p, p.ord AS pord, p.t AS pt, p.platform <> c.platform AS crossp, p.author IS NOT NULL AND c.nm IS NOT NULL AND contains(p.author, 'author') AS src,
-      len(list_intersect(p.tok, c.tok)) / CAST(greatest(1, len(p.tok) + len(c.tok) - len(list_intersect(p.tok, c.tok))) AS DOUBLE) AS sem, greatest(0e0, 1 - (c.t - p.t) / 3600e0 / 168) AS tm, CASE WHEN p.k = c.k THEN 1e0 ELSE 0e0 END AS kw
+      len(list_intersect(p.tok, c.tok)) / CAST(greatest(1, len(p.tok) + len(c.tok) - len(list_intersect(p.tok, c.tok))) AS DOUBLE) AS sem, CASE WHEN c.t IS NULL OR p.t IS NULL THEN 0e0 ELSE greatest(0e0, 1 - (c.t - p.t) / 3600e0 / 168) END AS tm, CASE WHEN p.k = c.k THEN 1e0 ELSE 0e0 END AS kw
     FROM ev c JOIN ev p ON p.event_id = c.event_id AND p.ord < c.ord {limit}),
   sc AS (SELECT *, round(0.7e0 * sem + 0.15e0 * tm + CASE WHEN src THEN 0.03e0 ELSE 0 END + 0.1e0 * kw + CASE WHEN crossp THEN 0.02e0 ELSE 0 END, 6) AS f FROM pair),
-  byid AS (SELECT c.event_id, c.id AS c, p.id AS p FROM ev c JOIN ev p ON p.event_id = c.event_id AND p.id = c.pid {limit}),
-  byauth AS (SELECT event_id, c, arg_max(p, pord) AS p FROM pair WHERE src GROUP BY 1, 2),
+  named AS (SELECT c.event_id, c.id AS c, p.id AS p, p.t IS NULL OR c.t IS NULL OR p.t <= c.t AS fits FROM ev c JOIN ev p ON p.event_id = c.event_id AND p.id = c.pid AND p.id <> c.id {limit}),
+  byid AS (SELECT event_id, c, p FROM named WHERE fits),
+  byauth AS (SELECT event_id, c, arg_max(p, pord) AS p FROM pair WHERE src AND c NOT IN (SELECT c FROM named) GROUP BY 1, 2),
   expl AS (SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.c, b.c) AS c, coalesce(a.p, b.p) AS p FROM byid a FULL JOIN byauth b ON a.c = b.c),
-  inf AS (SELECT event_id, c, p, f, crossp FROM sc WHERE round(sem, 6) >= 0.2 AND (src OR kw > 0) AND f >= 0.38 AND c NOT IN (SELECT c FROM expl) QUALIFY row_number() OVER (PARTITION BY c ORDER BY f DESC, pt DESC) = 1),
+  inf AS (SELECT event_id, c, p, f, crossp FROM sc WHERE round(sem, 6) >= 0.2 AND (src OR kw > 0) AND f >= 0.38 AND c NOT IN (SELECT c FROM expl) QUALIFY row_number() OVER (PARTITION BY c ORDER BY f DESC, pt DESC NULLS LAST, pord) = 1),
   edge AS (SELECT event_id, p AS source_id, c AS target_id, 'explicit' AS evidence_type, 'repost_or_quote' AS relation_type, 1e0 AS confidence FROM expl
     UNION ALL SELECT event_id, p, c, 'inferred', CASE WHEN crossp THEN 'cross_platform_followup' ELSE 'content_followup' END, round(f, 3) FROM inf)"""
 HEAD = _ART.replace("{limit}", "AND c.ord <= 40")
@@ -43,7 +45,7 @@ ALL = _ART.replace("{limit}", "")
 def _graph(t):
     a = articles(t)
     heads = g.first_articles(a).persist()
-    return a, heads, g.edges(heads)
+    return a, heads, g.edges(heads, a)
 
 
 @query("G1_explicit_parent_ids", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) || ',m' || CAST(event_id AS VARCHAR) ELSE '' END AS ids FROM events""")
@@ -67,9 +69,9 @@ def _(t):
 _EDGE = "event_id, source_id, target_id, evidence_type, relation_type, confidence"
 
 
-@query("G4_explicit_edges", f"WITH {HEAD} SELECT {_EDGE} FROM edge WHERE evidence_type = 'explicit'")
+@query("G4_explicit_edges", f"WITH {HEAD} SELECT {_EDGE} FROM edge WHERE evidence_type = 'explicit' AND source_id IN (SELECT id FROM ev WHERE ord <= 40)")
 def _(t):
-    return _graph(t)[2].where("evidence_type = 'explicit'").select(*_EDGE.split(", "))
+    return _graph(t)[2].where("evidence_type = 'explicit' and published").select(*_EDGE.split(", "))
 
 
 @query("G5_inferred_scores", f"WITH {HEAD} SELECT event_id, c AS child_id, p AS parent_id, round(sem, 6) AS semantic, f AS final_score FROM sc WHERE round(sem, 6) >= 0.2 AND (src OR kw > 0) AND f >= 0.38")
@@ -80,13 +82,13 @@ def _(t):
     return g.score_pairs(pairs).where("eligible").select("event_id", F.col("c_article_id").alias("child_id"), F.col("p_article_id").alias("parent_id"), "semantic", "final_score")
 
 
-@query("G6_best_parents", f"WITH {HEAD} SELECT {_EDGE} FROM edge")
+@query("G6_best_parents", f"WITH {HEAD} SELECT {_EDGE} FROM edge WHERE source_id IN (SELECT id FROM ev WHERE ord <= 40)")
 def _(t):
-    return _graph(t)[2].select(*_EDGE.split(", "))
+    return _graph(t)[2].where("published").select(*_EDGE.split(", "))
 
 
 _NODE = """node AS (SELECT e.*, NOT EXISTS (SELECT 1 FROM edge x WHERE x.target_id = e.id) AS root, CASE WHEN id % 41 = 0 THEN 'official_response' WHEN id % 29 = 0 THEN 'influencer_amplification'
-      WHEN NOT EXISTS (SELECT 1 FROM edge x WHERE x.target_id = e.id) THEN 'origin_candidate' WHEN id = (SELECT id FROM ev z WHERE z.event_id = e.event_id ORDER BY inter DESC, t, id LIMIT 1) THEN 'peak_content' ELSE 'ordinary' END AS kind FROM ev e WHERE ord <= 40)"""
+      WHEN NOT EXISTS (SELECT 1 FROM edge x WHERE x.target_id = e.id) THEN 'origin_candidate' WHEN id = (SELECT id FROM ev z WHERE z.event_id = e.event_id ORDER BY inter DESC, t NULLS LAST, id LIMIT 1) THEN 'peak_content' ELSE 'ordinary' END AS kind FROM ev e WHERE ord <= 40)"""
 
 
 @query("G7_nodes", f"WITH {HEAD}, {_NODE} SELECT event_id, id AS article_id, CAST(ord AS INT) AS ord, inter AS interaction_count, round(18 + least(24e0, pow(inter, 0.25e0)), 6) AS symbol_size, root AS is_root FROM node")
@@ -107,18 +109,23 @@ def _(t):
     return g.phases(g.nodes(a, heads, found)).select("event_id", "ord", "phase_type", "representative_node_id")
 
 
-@query("G10_origin_counts", f"WITH {ALL} SELECT event_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM edge x WHERE x.target_id = ev.id)) AS origin_candidate_count FROM ev GROUP BY 1")
+_ORIGINS = f"WITH {ALL} SELECT event_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM edge x WHERE x.target_id = ev.id)) AS origin_candidate_count FROM ev GROUP BY 1"
+
+
+@query("G10_origin_counts", _ORIGINS)
 def _(t):
     return g.origin_counts(articles(t))
 
 
-@query("G10_graph_summary", f"""WITH {HEAD}, {_NODE}, c AS (SELECT event_id, count(*) FILTER (WHERE evidence_type = 'explicit') AS x, count(*) FILTER (WHERE evidence_type = 'inferred') AS i FROM edge GROUP BY 1)
+@query("G10_graph_summary", f"""WITH {HEAD}, {_NODE}, c AS (SELECT event_id, count(*) FILTER (WHERE evidence_type = 'explicit') AS x, count(*) FILTER (WHERE evidence_type = 'inferred') AS i FROM edge
+      WHERE source_id IN (SELECT id FROM ev WHERE ord <= 40) GROUP BY 1)
     SELECT n.event_id, count(*) AS node_count, max(coalesce(x, 0)) AS explicit_edge_count, max(coalesce(i, 0)) AS inferred_edge_count, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms,
-      CASE WHEN max(coalesce(x, 0) + coalesce(i, 0)) > 0 THEN 'sufficient' ELSE 'insufficient' END AS coverage_status FROM node n LEFT JOIN c ON c.event_id = n.event_id GROUP BY 1""")
+      CASE WHEN max(coalesce(x, 0) + coalesce(i, 0)) > 0 THEN 'sufficient' ELSE 'insufficient' END AS coverage_status, max(o.origin_candidate_count) AS origin_candidate_count
+    FROM node n LEFT JOIN c ON c.event_id = n.event_id LEFT JOIN ({_ORIGINS}) o ON o.event_id = n.event_id GROUP BY 1""")
 def _(t):
     a, heads, found = _graph(t)
     out = g.graph_summary(g.nodes(a, heads, found), found, g.origin_counts(a))
-    return out.select("event_id", "node_count", "explicit_edge_count", "inferred_edge_count", F.array_join("platforms", ",").alias("platforms"), "coverage_status")
+    return out.select("event_id", "node_count", "explicit_edge_count", "inferred_edge_count", F.array_join("platforms", ",").alias("platforms"), "coverage_status", "origin_candidate_count")
 
 
 @query("G11_lineage", "SELECT conv_id AS event_id, conv_id * 1000 + turn AS article_id, conv_id * 1000 AS root_id, turn AS depth FROM conversations")

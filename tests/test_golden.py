@@ -275,3 +275,21 @@ def test_one_digest_per_run_for_any_id(spark):
 
     rows = spark.createDataFrame([(1, -5, "a"), (1, 1 << 61, "b"), (1, 7, "c"), (2, 7, "c")], "run_id long, article_id long, identity string")
     assert sorted(r.run_id for r in runs.dataset_hash(rows).collect()) == [1, 2]
+
+
+def test_id_parents_anywhere_in_the_event(spark):
+    """A parent behind the first 40 makes its child no origin; a late one is refused and ends the search."""
+    body = lambda i: f"独立内容{i}号" * 3
+    rows = [(i, f"作者{i:03d}", "weibo", f"t{i}", body(i), i, f"s{i}", "{}") for i in range(1, 46)]
+    rows[4] = (5, "作者005", "weibo", "t5", body(5), 5, "s5", '{"parent_id": "s99"}')
+    rows[5] = (6, "作者006", "weibo", "t6", "//@作者001 " + body(6), 6, "s6", '{"parent_id": "s44"}')
+    posts = _posts(spark, rows)
+    late = _posts(spark, [(99, "无", "weibo", "t", "别的", 0, "s99", "{}")]).withColumn("publish_time", F.lit(None).cast("timestamp"))
+    posts = posts.unionByName(late)
+    heads = propagation.first_articles(posts)
+    found = propagation.edges(heads, posts)
+    assert {(r.source_id, r.target_id, r.published) for r in found.where("evidence_type = 'explicit'").collect()} == {(99, 5, False)}
+    roots = {r.article_id: r.is_root for r in propagation.nodes(posts, heads, found).collect()}
+    assert len(roots) == 40 and not roots[5]  # article 6 names a later one and may not fall back on the author
+    inside = found.where("target_id <> 5").count()
+    assert propagation.origin_counts(posts, tile=8).first().origin_candidate_count <= 45 - inside
