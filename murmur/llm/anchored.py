@@ -19,7 +19,7 @@ from murmur.llm.shared import mixed, sliding_min, written
 
 #: Repeated anchors are sent to all executors up to so many (8 bytes each); more meet their texts by shuffle.
 BROADCAST_ANCHORS = 4_000_000
-#: Rows of a keyed side sent to all executors.
+#: Entries of a keyed side (rows, or the items of their lists) sent to all executors, some 50 bytes each.
 BROADCAST_ROWS = 500_000
 #: Variants of one anchor that are judged together.
 MOST_VARIANTS = 4_096
@@ -27,9 +27,10 @@ _PIECE, _BITS = 1 << 22, np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The (stored) side of a join, sent to all executors if its size allows."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, entries: str = "1") -> DataFrame:
+    """The (stored) side of a join, sent to all executors if it has BROADCAST_ROWS entries at most."""
+    size = df.agg(F.coalesce(F.sum(F.expr(entries)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 def identity(text: Column) -> Column:

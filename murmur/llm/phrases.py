@@ -145,7 +145,7 @@ def remove_later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     met, spans = _spans(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     kept = docs.drop(*[c for c in ("n_words", "removed", "kept") if c not in (doc_id, text)])
     keyed = kept.withColumn("_node", identity(F.coalesce(text, F.lit(""))))
-    spans, several = small(written(spans, "spans")), small(met.repeated.select(F.col("node").alias("_node"), F.col("first.id").alias("_first")))
+    spans, several = small(written(spans, "spans"), "size(_spans)"), small(met.repeated.select(F.col("node").alias("_node"), F.col("first.id").alias("_first")))
     copy = F.col("_known").isNotNull() & ~F.col(doc_id).eqNullSafe(F.col("_first"))
     joined = keyed.join(spans, "_node", "left").join(several.withColumn("_known", F.lit(True)), "_node", "left")
     joined = joined.select(*kept.columns, "_spans", F.coalesce(copy, F.lit(False)).alias("_copy"))

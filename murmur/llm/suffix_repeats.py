@@ -1,10 +1,11 @@
 """Suffix-array de-duplication: byte strings that occur twice, found in enhanced suffix arrays of anchored segments.
 
 Equal 200-byte strings meet under their anchor (see `anchored`). For the variants of an anchor the suffixes of all
-window places are sorted (prefix doubling) and the common prefixes of neighbours computed; a stack scan over them yields
-the tree of common-prefix intervals. An interval whose members are preceded by different bytes (or by the start of a
-document) is a maximal repeat and is put out with all its occurrences. Every place in an interval of LENGTH or more
-covers LENGTH repeated bytes; intervals that only shift a longer one are covered through their own places as well.
+window places are sorted (prefix doubling); neighbours with LENGTH common bytes form the top intervals of the common-prefix
+tree, and every place in one covers LENGTH repeated bytes. Coverage needs no more than the top of the tree. For
+`repeat_groups` a stack scan over the common prefixes of neighbours yields the whole tree: an interval whose members are
+preceded by different bytes (or by the start of a document) is a maximal repeat, put out with all its occurrences.
+Intervals that merely shift a longer repeat to the right are no groups.
 
 The length of a group is seen up to the end of the segment (LENGTH + width bytes), which is enough to decide coverage.
 
@@ -52,7 +53,9 @@ def _read(column: pa.Array):
 
 
 UNITS = Units(_read, LENGTH, LENGTH - GRAM + 1)
-_FOUND = "vid string, low int, high int, group string, length int"
+_FOUND = "vid string, low int, high int"
+#: The tree in linear size: places in suffix order (`length` null), and intervals of places from `low` to `high`.
+_TREE = "vid string, low int, high int, top string, length int"
 
 
 class EnhancedSuffixes:
@@ -98,48 +101,57 @@ def interval_tree(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    vids = table.column("vid").to_pylist()
-    seg = table.column("seg").chunk(0).cast(pa.large_binary())
-    offsets = np.frombuffer(seg.buffers()[1], np.int64)[seg.offset : seg.offset + len(seg) + 1]
-    flat = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    led = flat[offsets[:-1]].astype(np.int64)
-    variant, offset, place = windows_of(table.column("n").to_numpy().astype(np.int64), offsets[:-1] + 1 + led)
-    weight = np.where(table.column("several").to_numpy(zero_copy_only=False), 2, 1)[variant]
-    suffixes = EnhancedSuffixes(flat, place, offsets[1:][variant])
-    kind = suffixes.kind
-    total = np.bincount(kind, weight)
-    v, low, high = runs_of(total[kind] >= 2, variant, offset)
-    out = [[vids[i] for i in v], low.tolist(), high.tolist(), [None] * len(v), [None] * len(v)]
+class _Chunk:
+    """Window places of the variants of a chunk, their sorted suffixes, and how often each content occurs."""
+
+    def __init__(self, table: pa.Table):
+        self.vids = table.column("vid").to_pylist()
+        seg = table.column("seg").chunk(0).cast(pa.large_binary())
+        offsets = np.frombuffer(seg.buffers()[1], np.int64)[seg.offset : seg.offset + len(seg) + 1]
+        self.flat = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        self.led = self.flat[offsets[:-1]].astype(np.int64)
+        self.variant, self.offset, self.place = windows_of(table.column("n").to_numpy().astype(np.int64), offsets[:-1] + 1 + self.led)
+        self.weight = np.where(table.column("several").to_numpy(zero_copy_only=False), 2, 1)[self.variant]
+        self.suffixes = EnhancedSuffixes(self.flat, self.place, offsets[1:][self.variant])
+        self.total = np.bincount(self.suffixes.kind, self.weight)
+
+
+def _covered(table: pa.Table) -> pa.Table:
+    """Runs of places in top intervals of two occurrences or more."""
+    c = _Chunk(table)
+    v, low, high = runs_of(c.total[c.suffixes.kind] >= 2, c.variant, c.offset)
+    return pa.table({"vid": pa.array([c.vids[i] for i in v], pa.string()), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
+
+
+def _tree(table: pa.Table) -> pa.Table:
+    """Maximal repeats: the intervals with different bytes before their members."""
+    c = _Chunk(table)
+    kind, order = c.suffixes.kind, c.suffixes.order
     # 256: the start of a document, which differs from any byte and from another start
-    before = np.where((offset == 0) & (led[variant] == 0), 256, flat[place - 1].astype(np.int64))
-    order = suffixes.order
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(kind[order]) != 0])) if len(order) else np.zeros(0, np.int64)
-    least, most = (np.minimum.reduceat(before[order], heads), np.maximum.reduceat(before[order], heads)) if len(heads) else ((), ())
-    tails = np.concatenate([heads[1:], [len(order)]])
-    diverse = [i for i in np.flatnonzero((np.array(most) > np.array(least)) | (np.array(most) == 256)) if total[kind[order[heads[i]]]] >= 2] if len(heads) else []
-    for i in diverse:
-        members = order[heads[i] : tails[i]]
-        common = [suffixes.common(a, b) for a, b in zip(members[:-1].tolist(), members[1:].tolist())]
-        found = list(interval_tree(common)) if common else [(0, 0, int(suffixes.end[members[0]] - place[members[0]]))]
-        for a, b, length in found:
-            own = members[a : b + 1]
-            lefts = set(before[own].tolist())
-            if length >= LENGTH and (len(lefts) > 1 or 256 in lefts) and weight[own].sum() >= 2:
-                name = f"{vids[variant[own[0]]]}:{offset[own[0]]}:{length}"
-                for m in own.tolist():
-                    for column, value in zip(out, (vids[variant[m]], int(offset[m]), int(offset[m]), name, length)):
-                        column.append(value)
-    return pa.table({
-        "vid": pa.array(out[0], pa.string()), "low": pa.array(out[1], pa.int32()), "high": pa.array(out[2], pa.int32()),
-        "group": pa.array(out[3], pa.string()), "length": pa.array(out[4], pa.int32()),
-    })
-
-
-def _judge_hot(variants: DataFrame) -> DataFrame:
-    """The same answer window by window, for anchors with very many variants: one row per window and no group in a task."""
-    led = F.ascii(F.substring(F.col("seg").cast("binary"), 1, 1).cast("string"))
+    before = np.where((c.offset == 0) & (c.led[c.variant] == 0), 256, c.flat[c.place - 1].astype(np.int64))[order]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(kind[order]) != 0]))
+    tails = np.append(heads[1:], len(order))
+    least, most = np.minimum.reduceat(before, heads), np.maximum.reduceat(before, heads)
+    out = []
+    for i in np.flatnonzero(((most > least) | (most == 256)) & (c.total[kind[order[heads]]] >= 2)):
+        head, members = int(heads[i]), order[heads[i] : tails[i]].tolist()
+        top = f"{c.vids[c.variant[members[0]]]}:{c.offset[members[0]]}"
+        common = [c.suffixes.common(a, b) for a, b in zip(members[:-1], members[1:])]
+        tree = list(interval_tree(common)) if common else [(0, 0, int(c.suffixes.end[members[0]] - c.place[members[0]]))]
+        out += [(c.vids[c.variant[m]], int(c.offset[m]), at, top, None) for at, m in enumerate(members)]
+        for a, b, length in tree:
+            lefts = set(before[head + a : head + b + 1].tolist())
+            if length >= LENGTH and (len(lefts) > 1 or 256 in lefts):
+                out.append((None, a, b, top, length))
+    columns = list(zip(*out)) or [()] * 5
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+    return pa.table({n: pa.array(list(v), k) for n, v, k in zip(("vid", "low", "high", "top", "length"), columns, kinds)})
+
+
+def _hot_windows(variants: DataFrame) -> DataFrame:
+    """`(vid, o, window, diverse)` of repeated windows, for anchors with very many variants: no group meets in a task."""
+    led = F.ascii(F.substring(F.col("seg"), F.lit(1), F.lit(1)).cast("string"))
     place = variants.select("vid", "several", "seg", led.alias("led"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
     window = F.sha2(F.substring("seg", F.col("o") + F.col("led") + 2, F.lit(LENGTH)), 256)
     before = F.when((F.col("o") == 0) & (F.col("led") == 0), F.concat(F.lit("start "), "vid")).otherwise(F.hex(F.substring("seg", F.col("o") + F.col("led") + 1, F.lit(1))))
@@ -147,37 +159,42 @@ def _judge_hot(variants: DataFrame) -> DataFrame:
     kinds = each.groupBy("window").agg(
         F.count("*").alias("places"), F.max("several").alias("several"), F.min("before").alias("a"), F.max("before").alias("b")
     ).where("places > 1 or several").select("window", F.expr("a < b or a like 'start %'").alias("diverse"))
-    hit = each.join(kinds, "window").select("vid", "o", "window", "diverse")
-    spans = hit.select("vid", F.col("o").alias("low"), F.col("o").alias("high"), F.lit(None).cast("string").alias("group"), F.lit(None).cast("int").alias("length"))
-    groups = hit.where("diverse").select("vid", F.col("o").alias("low"), F.col("o").alias("high"), F.col("window").alias("group"), F.lit(LENGTH).alias("length"))
-    return spans.unionByName(groups)
+    return each.join(kinds, "window").select("vid", "o", "window", "diverse")
 
 
-def _found(rows: DataFrame) -> tuple[Anchored, DataFrame]:
+def _met(rows: DataFrame) -> tuple[Anchored, DataFrame, DataFrame]:
     met = anchored(rows, UNITS)
     variants = met.variants.select("vid", "anchor", "n", "seg", (F.col("first") != F.col("last")).alias("several"))
-    calm, hot = split_hot(variants)
-    return met, written(by_anchor(calm, _judge, _FOUND).unionByName(_judge_hot(hot)), "repeats")
+    return met, *split_hot(variants)
 
 
 def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Maximal repeats of LENGTH bytes or more among different texts: group, length, and every (node, first byte).
-    `node` is the key of the text, shared by its copies (see `anchored.identity`)."""
-    met, found = _found(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
-    return found.where("group is not null").join(met.occurrences, "vid").select(
-        "group", "length", "node", (F.col("start") + F.col("low")).alias("at")
+    `node` is the key of the text, shared by its copies (see `anchored.identity`). A nested repeat lists its own places, so
+    the listing can be larger than the tree it is read from. Repeats filed under an anchor with very many variants are
+    listed window by window (length LENGTH)."""
+    met, calm, hot = _met(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    tree = written(by_anchor(calm, _tree, _TREE), "tree")
+    places = tree.where("length is null").select("top", F.col("high").alias("at"), "vid", F.col("low").alias("o"))
+    groups = tree.where("length is not null").select("top", "low", "high", "length")
+    listed = groups.join(places, "top").where("at between low and high").select(
+        F.concat_ws(":", "top", "low", "high", "length").alias("group"), "length", "vid", "o"
     )
+    single = _hot_windows(hot).where("diverse").select(F.col("window").alias("group"), F.lit(LENGTH).alias("length"), "vid", "o")
+    return listed.unionByName(single).join(met.occurrences, "vid").select("group", "length", "node", (F.col("start") + F.col("o")).alias("at"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds `n_bytes`, `removed` (maximal removed byte ranges [from, to)) and `kept` (remaining bytes) to every row."""
-    met, found = _found(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
-    spans = met.occurrences.join(found.where("group is null"), "vid").groupBy("node").agg(
+    met, calm, hot = _met(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    single = _hot_windows(hot).select("vid", F.col("o").alias("low"), F.col("o").alias("high"))
+    found = written(by_anchor(calm, _covered, _FOUND).unionByName(single), "repeats")
+    spans = met.occurrences.join(found, "vid").groupBy("node").agg(
         F.collect_set(F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + LENGTH).alias("b"))).alias("_spans")
     )
     kept = docs.drop(*[c for c in ("n_bytes", "removed", "kept") if c not in (doc_id, text)])
     keyed = kept.withColumn("_node", identity(F.coalesce(text, F.lit(""))))
-    spans, several = small(written(spans.withColumnRenamed("node", "_node"), "spans")), small(met.repeated.select(F.col("node").alias("_node"), "copies"))
+    spans, several = small(written(spans.withColumnRenamed("node", "_node"), "spans"), "size(_spans)"), small(met.repeated.select(F.col("node").alias("_node"), "copies"))
     joined = keyed.join(spans, "_node", "left").join(several, "_node", "left").drop("_node")
     at, last = kept.columns.index(text), len(kept.columns)
 
