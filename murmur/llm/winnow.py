@@ -85,8 +85,8 @@ def _ranges(docs: DataFrame, key: str) -> Column | None:
     cuts = min(MOST_RANGES, -(-n // RANGE_ROWS))
     def even(value: Column, low, high, parts) -> Column:
         share = (value.cast("double") - low) / F.greatest(F.lit(1.0), (high.cast("double") if isinstance(high, Column) else F.lit(float(high))) - low)
-        return F.least(F.floor(share * parts), parts - 1).cast("int")
-    first = F.coalesce(even(F.col(key), F.lit(float(low)), high, F.lit(cuts)), F.lit(0))
+        return F.when(value.isNull(), F.lit(0)).otherwise(F.least(F.floor(share * parts), parts - 1)).cast("int")
+    first = even(F.col(key), F.lit(float(low)), high, F.lit(cuts))
     crowded = docs.groupBy(first.alias("_c")).agg(F.min(key).alias("_l"), F.max(key).alias("_h"), F.count("*").alias("_n")).where(
         F.col("_n") > 4 * RANGE_ROWS
     )
@@ -95,7 +95,7 @@ def _ranges(docs: DataFrame, key: str) -> Column | None:
     for c in found:
         if c["_l"] is not None and c["_h"] > c["_l"]:
             parts = max(2, min(-(-c["_n"] // RANGE_ROWS), MOST_RANGES * c["_n"] // n))
-            inner = F.coalesce(even(F.col(key), F.lit(float(c["_l"])), c["_h"], F.lit(parts)), F.lit(0))
+            inner = even(F.col(key), F.lit(float(c["_l"])), c["_h"], F.lit(parts))
             number = F.when(first == c["_c"], F.lit(c["_c"]).cast("long") * MOST_RANGES + inner).otherwise(number)
     return number
 
