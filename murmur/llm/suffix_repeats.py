@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from murmur.llm.anchored import (
@@ -24,7 +25,7 @@ from murmur.llm.anchored import (
 from murmur.llm.shared import BYTE_CODES, flat_bytes, mixed, row_blocks, written
 
 LENGTH, GRAM = 200, 32  # GRAM is a power of two
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def _byte_grams(flat: np.ndarray) -> np.ndarray:
@@ -118,10 +119,21 @@ class _Chunk:
 
 
 def _covered(table: pa.Table) -> pa.Table:
-    """Runs of places in top intervals of two occurrences or more."""
+    """Runs of places in top intervals of two occurrences or more.
+
+    A variant alone under its anchor has all its repeats in its own copies: the windows of a segment hold one and the
+    same anchor at different distances, so no two of them are equal."""
+    _, name, held = np.unique(table.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
+    alone = held[name] == 1
+    whole = table.filter(pa.array(alone & table.column("several").to_numpy(zero_copy_only=False)))
+    copies = pa.table({"vid": whole.column("vid"), "low": pa.array(np.zeros(len(whole), np.int32)), "high": pc.cast(pc.subtract(whole.column("n"), 1), pa.int32())})
+    table = table.filter(pa.array(~alone)).combine_chunks()
+    if not len(table):
+        return copies
     c = _Chunk(table)
     v, low, high = runs_of(c.total[c.suffixes.kind] >= 2, c.variant, c.offset)
-    return pa.table({"vid": pa.array([c.vids[i] for i in v], pa.string()), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
+    met = pa.table({"vid": pa.array([c.vids[i] for i in v], pa.string()), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
+    return pa.concat_tables([copies, met])
 
 
 def _tree(table: pa.Table) -> pa.Table:
