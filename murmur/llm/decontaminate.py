@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from murmur.llm.shared import written
 
 WINDOW = 10
-#: Windows and starts are sent to all executors up to so many rows; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Windows (and their terms), and starts to compare, are sent to all executors up to so many (some 100 bytes each);
+#: beyond, they are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_STARTS = 300_000, 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,12 +37,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text", length: int = WINDOW) -> DataFrame:
-    """Distinct windows: `wid`, their words `w`, and the ids of the items that hold them."""
+    """Distinct windows: `wid`, their words `w`, the same as one `phrase`, and the ids of the items that hold them."""
     cut = items.select(F.col(item).alias("item"), words(F.col(text)).alias("all")).where(F.size("all") > 0)
     places = F.sequence(F.lit(1), F.greatest(F.size("all") - (length - 1), F.lit(1)))
     one = cut.select("item", "all", F.explode(places).alias("at")).select("item", F.slice("all", F.col("at"), F.lit(length)).alias("w"))
     return one.groupBy("w").agg(F.collect_set(F.col("item").cast("string")).alias("items")).select(
-        F.sha2(F.concat_ws(" ", "w"), 256).alias("wid"), "w", "items"
+        F.sha2(F.concat_ws(" ", "w"), 256).alias("wid"), "w", F.concat_ws(" ", "w").alias("phrase"), "items"
     )
 
 
@@ -54,7 +55,7 @@ def index(docs: DataFrame, windows: DataFrame, key: str, text: str) -> DataFrame
 
 
 def starts(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """Possible starts `(key, start, w, items)`: offset-adjusted lists of each window's two rarest terms, intersected.
+    """Possible starts `(key, start, phrase, items)`: offset-adjusted lists of each window's two rarest terms, intersected.
 
     With `slop` the two lists may disagree by so many places."""
     df = written(postings.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
@@ -79,15 +80,17 @@ def starts(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
         met = first.where("term2 is not null").withColumn("at2", F.col("start") + F.col("o2")).join(seconds, ["term2", "key", "at2"], "left_semi")
     alone = first.where("term2 is null")  # windows of one word
     return met.select("wid", "key", "start").unionByName(alone.select("wid", "key", "start")).distinct().join(
-        _small(windows, n), "wid"
-    ).select("key", "start", "w", "items")
+        _small(windows, windows.count()), "wid"
+    ).select("key", "start", "phrase", "items")
 
 
-def _holds(all_words: Column, start: Column, w: Column, slop: int) -> Column:
+def _holds(all_words: Column, start: Column, phrase: Column, slop: int) -> Column:
+    """Whether the words from `start` on are the phrase; with `slop`, whether all its words stand so near."""
+    n = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1
     if not slop:
-        return F.slice(all_words, start + 1, F.size(w)) == w
-    near = F.slice(all_words, F.greatest(start - slop, F.lit(0)) + 1, F.size(w) + 2 * slop)
-    return F.size(F.array_except(w, near)) == 0
+        return F.array_join(F.slice(all_words, start + 1, n), " ") == phrase
+    near = F.slice(all_words, F.greatest(start - slop, F.lit(0)) + 1, n + 2 * slop)
+    return F.size(F.array_except(F.split(phrase, " "), near)) == 0
 
 
 def decontaminate(
@@ -99,12 +102,14 @@ def decontaminate(
     windows = written(benchmark_windows(items, item, item_text), "windows")
     postings = index(keyed, windows, "_key", text)
     # one row per document with starts; a document's starts are bounded by its own length times the windows it holds
-    found = written(starts(postings, windows, slop).groupBy("key").agg(F.collect_list(F.struct("start", "w", "items")).alias("_starts")), "starts")
-    joined = keyed.join(_small(found.withColumnRenamed("key", "_key"), found.count() * 10), "_key", "left")
+    found = written(starts(postings, windows, slop).groupBy("key").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("_starts")), "starts")
+    sent = found.agg(F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()[0] <= BROADCAST_STARTS
+    found = found.withColumnRenamed("key", "_key")
+    joined = keyed.join(F.broadcast(found) if sent else found, "_key", "left")
     joined = joined.withColumn("_words", words(F.col(text)))
-    true = F.filter(F.coalesce("_starts", F.array().cast(found.schema["_starts"].dataType)), lambda s: _holds(F.col("_words"), s["start"], s["w"], slop))
+    true = F.filter(F.coalesce("_starts", F.array().cast(found.schema["_starts"].dataType)), lambda s: _holds(F.col("_words"), s["start"], s["phrase"], slop))
     joined = joined.withColumn("_true", true)
-    spans = F.transform("_true", lambda s: F.sequence(s["start"], F.least(s["start"] + F.size(s["w"]), F.size("_words")) - 1))
+    spans = F.transform("_true", lambda s: F.sequence(s["start"], F.least(s["start"] + F.size(F.split(s["phrase"], " ")), F.size("_words")) - 1))
     return joined.select(
         *kept.columns, F.size("_words").cast("long").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(spans))).alias("hits"),
