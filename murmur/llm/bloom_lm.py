@@ -28,7 +28,7 @@ FREQUENT = 500_000
 MOST_FILTER_BYTES = 384 << 20
 #: Grams that one block of the filter holds on average.
 BLOCK_GRAMS = 100_000
-_BLOCK, _GATHER = 4 << 20, 3_000_000
+_BLOCK, _GATHER = 1 << 20, 2_000_000
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)  # no word hash has a meaning, so any two numbers do
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -6,7 +6,7 @@ there it is the one that may follow the state it leaves behind, so a prefix shar
 word's encoding is read back along the states. Two tokens may stand side by side when no merge across their border would
 have come before the merges that built them.
 
-Encoded words are kept per Python worker in a bounded table. Normalisation: NFC, lower case, the file's split pattern. A
+Encoded words are kept per task in a bounded table. Normalisation: NFC, lower case, the file's split pattern. A
 text with a code point that this Python's character database does not know is normalised by the tokenizers library itself,
 since the two may know different Unicode versions. Decoding looks ids up in a table of token texts, in the JVM.
 
@@ -19,7 +19,6 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Entries of the tables that a worker keeps (words, and pairs of tokens); a full table is started anew.
+#: Entries of the tables that a task keeps (words, and pairs of tokens); a full table is started anew.
 KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
 # fixed values: the split pattern of the word BPE, and forms of it that match the same and faster
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -152,6 +151,8 @@ class WordBpe:
                 symbol = word[at]
                 after = moves.get(state << 10 | ord(symbol))
                 if after is None:
+                    if len(moves) >= KEPT_PAIRS:
+                        moves.clear()
                     after = moves[state << 10 | ord(symbol)] = self._step(state, symbol)
                 state = after
                 for token, size in ending[self._step(state, _END) if at + 1 == length else state]:
@@ -223,19 +224,13 @@ class WordBpe:
         return " ".join([t for t in map(self.texts.get, ids) if t is not None])
 
 
-@lru_cache(1)
-def loaded(definition: str) -> WordBpe:
-    """One tokenizer per Python worker: its tables serve all tasks that the worker runs."""
-    return WordBpe(definition)
-
-
 def encode_documents(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids (array of int) of every text. `definition` is the JSON text of the tokenizer file, some MB at most."""
     kept = docs.drop(ids)
     sent, at = docs.sparkSession.sparkContext.broadcast(definition), kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(sent.value)
+        bpe = WordBpe(sent.value)  # not kept between tasks: a worker goes on to stages that need its memory
         for batch in batches:
             coded = bpe.encode([t or "" for t in batch.column(at).to_pylist()])
             ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
@@ -251,7 +246,8 @@ def decode_documents(docs: DataFrame, definition: str, ids: str = "ids", text: s
     """Adds the text of every array of ids, as a file without a decoder reads: token texts joined by spaces.
 
     Null ids read as none, unknown ids are left out. The table of token texts is one constant of the plan."""
-    texts = loaded(definition).texts
+    spec = json.loads(definition)
+    texts = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
     mark = "\x01"  # in no token
     table = F.split(F.lit(mark.join(texts.get(i, "") for i in range(max(texts) + 1))), mark)
     known = F.filter(F.transform(F.col(ids), lambda i: F.get(table, i)), lambda t: t != "")

@@ -29,7 +29,7 @@ TREES, DEPTH, RECALL = 16, 8, 0.998
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
 #: Keys are sent to all executors up to so many; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-_READ = 4 << 20
+_READ = 1 << 20
 
 
 def matched_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:

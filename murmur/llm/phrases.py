@@ -26,7 +26,7 @@ from murmur.llm.anchored import (
 from murmur.llm.shared import flat_bytes, gram_hashes, row_blocks, word_bounds, word_hashes, written
 
 LENGTH, GRAM = 20, 8
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _FOUND = "vid string, low int, high int, every boolean, node string, start bigint"
 
 

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _MASK = (1 << 64) - 1
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
