@@ -8,7 +8,9 @@
    p(w | h) = WEIGHT * count(h w) / count(h) + (1 - WEIGHT) * (count(w) + 1) / (N + V + 1), an unseen history leaving the
    second part alone. False positives (about 1 in 150 per probe) can only raise a level.
 
-The filter is broadcast up to MOST_FILTER_BYTES; beyond, each text gets the levels of its own grams by a shuffle join.
+The filter is broadcast up to MOST_FILTER_BYTES; beyond, each distinct gram of the texts meets its block of the same filter by
+shuffle, is probed there, and its level joins the texts that have it: the limit moves the probes, not the scores. (A limit below
+zero means no filter: exact levels, the model that the tests hold the filter against. No input reaches that form.)
 The exact add-one base score takes the counts of the FREQUENT most frequent tokens from a broadcast table of that fixed
 size; the other tokens, which by that cannot be hot, meet their counts by shuffle. Tokens are known by 64-bit hashes.
 
@@ -89,6 +91,12 @@ def _model_grams(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([_alone(tokens), np.full(len(ends) - 1, _alone(np.array([START]))[0]), _pair(_histories(tokens, ends), tokens)])
 
 
+def _asked_grams(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What a text asks for: each history with its word, each history, each word."""
+    before = _histories(tokens, ends)
+    return np.concatenate([_pair(before, tokens), _alone(before), _alone(tokens)])
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype(np.int64) + 1
 
@@ -151,6 +159,11 @@ def build_block(grams: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _block_of(blocks: int) -> Column:
+    """The same block as _block() finds: the high half of the unsigned gram, scaled."""
+    return F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(blocks), 32).cast("int")
+
+
 def _filter_blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         grams = table.column("gram").to_numpy().view(np.uint64)
@@ -158,9 +171,7 @@ def _filter_blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "bits": pa.array([data], pa.binary())})
 
     grams = _summed(docs, _model_grams, text)
-    # the same block as _block() finds: the high half of the unsigned gram, scaled
-    block = F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(blocks), 32).cast("int")
-    return written(grams.withColumn("block", block).groupBy("block").applyInArrow(build, "block int, bits binary"), "filter")
+    return written(grams.withColumn("block", _block_of(blocks)).groupBy("block").applyInArrow(build, "block int, bits binary"), "filter")
 
 
 def _estimates(pair: np.ndarray, history: np.ndarray, word: np.ndarray, total: int, kinds: int) -> np.ndarray:
@@ -196,7 +207,8 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
             parts[row["block"]] = bytes(row["bits"])
         sent = spark.sparkContext.broadcast(LogFrequencyFilter(parts))
     else:
-        rows, sent = _with_levels(rows, training, text), None
+        rows, sent = written(rows.withColumn("_row", F.monotonically_increasing_id()), "asking"), None
+        rows = _with_levels(rows, _exact(training, text) if MOST_FILTER_BYTES < 0 else _probed(rows, filters, blocks))
     at, width = len(keep), total + kinds + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,24 +254,46 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
     )
 
 
-def _with_levels(rows: DataFrame, training: DataFrame, text: str) -> DataFrame:
+def _exact(training: DataFrame, text: str) -> DataFrame:
+    return _summed(training, _model_grams, text).groupBy("gram").agg((F.floor(F.log2(F.sum("n"))) + 1).cast("int").alias("level"))
+
+
+def _probed(keyed: DataFrame, filters: DataFrame, blocks: int) -> DataFrame:
+    """`(gram, level)` of each distinct gram of the texts that its block of the filter answers for.
+
+    Grams that ask far outnumber those learned when the training rows are few, so a block is met in parts of bounded size."""
+    kinds = written(_summed(keyed, _asked_grams, "_text").select("gram").distinct(), "asked-grams")
+    parts = max(1, -(-kinds.count() // (4 * BLOCK_GRAMS * blocks)))
+    asking = kinds.select("gram", _block_of(blocks).alias("block"), F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int").alias("part"))
+    answering = filters.select("block", "bits", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def probe(asked: pa.Table, block: pa.Table) -> pa.Table:
+        grams = asked.column("gram").to_numpy().view(np.uint64) if block.num_rows else np.zeros(0, np.uint64)
+        levels = LogFrequencyFilter([b.as_py() for b in block.column("bits")]).level(grams)
+        held = levels > 0
+        return pa.table({"gram": pa.array(signed(grams[held])), "level": pa.array(levels[held].astype(np.int32))})
+
+    return asking.groupBy("block", "part").cogroup(answering.groupBy("block", "part")).applyInArrow(probe, "gram bigint, level int")
+
+
+def _with_levels(keyed: DataFrame, levels: DataFrame) -> DataFrame:
     """Each row with the (gram, level) pairs of its own grams, for filters too large to broadcast.
 
-    Grams meet their counts by shuffle; a gram that many texts share is met in split partitions (adaptive skew join)."""
-    counts = _summed(training, _model_grams, text).groupBy("gram").agg((F.floor(F.log2(F.sum("n"))) + 1).cast("int").alias("level"))
-    keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "asking")
+    A gram that many texts share meets its level in split partitions (adaptive skew join)."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, ends, tokens in _tokens(batch.column(1)):
-                before = _histories(tokens, ends)
-                row = np.repeat(batch.column(0).to_numpy()[first : first + len(ends) - 1], np.diff(ends))
-                gram = signed(np.concatenate([_pair(before, tokens), _alone(before), _alone(tokens)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(row, 3)), pa.array(gram)], names=["_row", "gram"])
-
-    grams = keyed.select("_row", "_text").mapInArrow(asked, "_row bigint, gram bigint").distinct()
-    own = grams.join(counts, "gram").groupBy("_row").agg(F.collect_list(F.struct("gram", "level")).alias("_levels"))
-    return keyed.join(own, "_row", "left").select(*[c for c in rows.columns], "_levels")
+                row = np.tile(np.repeat(batch.column(0).to_numpy()[first : first + len(ends) - 1], np.diff(ends)), 3)
+                gram = signed(_asked_grams(tokens, ends))
+                order = np.lexsort((gram, row))
+                row, gram = row[order], gram[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])[: len(row)]
+                yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(gram[new])], names=["_row", "gram"])
+
+    grams = keyed.select("_row", "_text").mapInArrow(asked, "_row bigint, gram bigint")
+    own = grams.join(levels, "gram").groupBy("_row").agg(F.collect_list(F.struct("gram", "level")).alias("_levels"))
+    return keyed.join(own, "_row", "left").select(*[c for c in keyed.columns if c != "_row"], "_levels")
 
 
 def _lookup(lists: pa.Array) -> Callable[[np.ndarray], np.ndarray]:

@@ -342,6 +342,17 @@ def test_scores(docs, monkeypatch, most, frequent):
         ), r
 
 
+def test_scores_do_not_depend_on_the_filter_limit(docs, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BLOCK_GRAMS", 50)
+    def scores(most):
+        monkeypatch.setattr(bloom_lm, "MOST_FILTER_BYTES", most)
+        few = docs.where("doc_id in (12, 48)")  # far more grams ask than were learned, so blocks are met in parts
+        return sorted((r.doc_id or -1, r.n_tokens, round(r.score, 9)) for r in bloom_lm.score(docs, few, ["doc_id"]).collect())
+    broadcast, shuffled, exact = scores(384 << 20), scores(0), scores(-1)
+    assert shuffled == broadcast
+    assert exact != broadcast  # false positives are there to be kept
+
+
 def test_scores_without_training(docs, none):
     assert {(r.base_score, r.score, r.n_known, r.train_tokens) for r in bloom_lm.score(docs, none, ["doc_id"]).collect()} == {(0.0, 0.0, 0, 0)}
     assert bloom_lm.score(none, docs, ["doc_id"]).collect() == []
