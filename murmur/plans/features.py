@@ -190,8 +190,7 @@ def _(t):
 @query("F14_lda_topics", None)
 def _(t):
     d, n, terms = corpus(t)
-    cfg = TopicConfig(max_topics=5, lda_max_iter=5)
-    found = topics.discover(d, [r.term for r in terms.select("term").orderBy("term").collect()], n, cfg)
+    found = topics.discover(d, [r.term for r in terms.select("term").orderBy("term").collect()], n, TopicConfig())
     return found["topics"]
 
 
