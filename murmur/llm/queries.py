@@ -4,7 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.llm import bloom_lm, bpe, decontaminate, jaccard, language, phrases, sharding, suffix_repeats, url_filter, winnow
+from murmur.llm import (
+    bloom_lm, bpe, decontaminate, jaccard, language, merkle, phrases, secrets, sharding, suffix_repeats, url_filter, vector_codes, winnow,
+)
+from murmur.llm.queries_sql import MERKLE_SQL, VECTOR_CODES_SQL
+from murmur.llm.shared import written
 from murmur.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +156,43 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", language.remainder(F.col("doc_id"), 7) == 2)
     return bloom_lm.score(docs, docs.where(~F.col("held_out")), ["doc_id", "held_out"])
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def _(spark, folder):
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    drawn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0  # null ids are never drawn
+    leaves = table(spark, folder, "documents").select(
+        "doc_id", "lang", merkle.leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(drawn, merkle.leaf_digest(*fields, lowered)).alias("changed"),
+    )
+    proved = merkle.manifest(leaves, "lang", "doc_id", "leaf").leaves
+    out = proved.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_vector_code_compression", VECTOR_CODES_SQL)
+def _(spark, folder):
+    coded = vector_codes.compress(table(spark, folder, "embeddings").select("vec_id", "label", "embedding"))
+    rows = written(coded.rows.select("vec_id", "label", "code", "error"), "vector-codes")
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return vector_codes.summed_by(rows, "label", "error", "label_error").select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+        F.lit(vector_codes.fingerprint(coded.codebooks)).alias("codebooks_sha256"),
+    )
+
+
+@query("op13_secret_scan")
+def _(spark, folder):
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = [r.kind for r in secrets.BASE_RULES]
+    return found.select(
+        "doc_id", *[number(kind) for kind in base],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
