@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from murmur.config import AggregationConfig
-from murmur.operators import events as ev
+from murmur.operators import clustering, events as ev
 from murmur.operators import sentiment
 from murmur.plans.heat import at
 from murmur.plans.registry import query, with_views
@@ -80,7 +80,7 @@ def _(t):
     return t.events.select("event_id", F.round(ev.time_compatibility(F.col("ts").cast("timestamp"), at()), 6).alias("score"))
 
 
-_RUN_CLUSTERS = "SELECT DISTINCT id // 50 AS run_id, id % 50 AS cluster_index, topic, kw FROM vec WHERE id % 50 < 30"
+_RUN_CLUSTERS = "SELECT DISTINCT id // 50 AS run_id, id % 50 AS cluster_index, topic, kw FROM vec"
 
 
 @query("E7_candidate_ranking", f"""WITH {VEC}, b AS ({_RUN_CLUSTERS}), s AS (SELECT a.id // 50 AS run_id, a.id AS article_id, b.cluster_index, CASE WHEN a.topic = b.topic THEN 1e0 ELSE 0e0 END + {JAC} AS s
@@ -88,8 +88,7 @@ _RUN_CLUSTERS = "SELECT DISTINCT id // 50 AS run_id, id % 50 AS cluster_index, t
     SELECT run_id, article_id, cluster_index, round(s, 6) AS candidate_score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY s DESC, cluster_index) AS rank FROM s) x WHERE rank <= 20""")
 def _(t):
     v = vectors(t).withColumn("run_id", F.floor(F.col("article_id") / 50))
-    clusters = v.where("article_id % 50 < 30").withColumn("cluster_index", F.col("article_id") % 50)
-    return ev.rank_candidates(v, clusters).withColumn("candidate_score", F.round("candidate_score", 6))
+    return clustering.rank_candidates(v, v.withColumn("cluster_index", F.col("article_id") % 50)).withColumn("candidate_score", F.round("candidate_score", 6))
 
 
 @query("E8_best_match", """SELECT user_id, cluster_index, score FROM (SELECT user_id, event_id AS cluster_index, floor(value / 10) AS score, row_number() OVER (PARTITION BY user_id ORDER BY floor(value / 10) DESC, event_id) AS rn FROM events) x WHERE rn = 1""")
@@ -110,38 +109,98 @@ def run_documents(t):
         F.when(~bare, F.transform("vector", lambda x: x.cast("double"))).alias("bge_vector"), F.lit(None).cast("array<double>").alias("tfidf_vector"))
 
 
-# the same rule from all pairs of a run: places by window, parents by rank, founders by recursion
-_E9 = f"""WITH RECURSIVE {VEC}, d AS (SELECT id // 100 AS run, id, CASE WHEN id % 13 <> 12 THEN id END AS t, coalesce(CASE WHEN id % 13 <> 12 THEN id END, 1000000000000) AS o, topic, kw, v, n,
-      CASE WHEN id % 4 = 0 THEN (id // 4) % 2 END AS loc FROM vec WHERE id % 41 <> 40),
-    filed AS (SELECT run, id, key, row_number() OVER (PARTITION BY run, key ORDER BY o, id) AS p FROM (SELECT run, id, o, 't' || topic AS key FROM d UNION ALL SELECT run, id, o, unnest(kw) FROM d) f),
-    met AS (SELECT DISTINCT a.run, a.id AS later, b.id AS earlier FROM filed a JOIN filed b ON a.run = b.run AND a.key = b.key AND b.p BETWEEN a.p - 20 AND a.p - 1),
-    pairs AS MATERIALIZED (SELECT m.*, b.o AS ob, a.loc IS NOT NULL AND b.loc IS NOT NULL AND a.loc <> b.loc AS clash,
+# the same rule from all pairs of a run: ranks by window, founders by recursion, centres by averages
+def _seeded_sql(p: str, rows: str, pairs: str) -> str:
+    """`{p}(run, pos, cluster, follows, s, clash, noted)`: documents that follow, found or leave, from pairs with verdicts."""
+    def judged(n: int) -> str:
+        told, up = f"{p}told{n}", f"{p}up{n}"
+        return f"""{up}(run, pos, root) AS (SELECT run, pos, pos FROM {told} WHERE parent IS NULL UNION ALL SELECT t.run, t.pos, u.root FROM {told} t JOIN {up} u ON t.run = u.run AND t.parent = u.pos),
+    {p}cut{n} AS MATERIALIZED (SELECT t.*, u.root, coalesce(t.loc <> h.loc, false) AS split FROM {told} t JOIN {up} u USING (run, pos)
+      LEFT JOIN (SELECT run, root, arg_min(loc, pos) AS loc FROM {told} JOIN {up} USING (run, pos) WHERE loc IS NOT NULL GROUP BY run, root) h ON h.run = u.run AND h.root = u.root)"""
+    return f"""{p}told1 AS MATERIALIZED (SELECT d.run, d.pos, d.loc, b.s, b.clash, CASE WHEN NOT b.clash AND b.s >= 0.55 THEN b.other END AS parent FROM {rows} d LEFT JOIN
+      (SELECT * FROM {pairs} QUALIFY row_number() OVER (PARTITION BY run, pos ORDER BY s DESC, other) = 1) b ON b.run = d.run AND b.pos = d.pos),
+    {judged(1)},
+    {p}told2 AS MATERIALIZED (SELECT c.run, c.pos, c.loc, c.s, c.clash, CASE WHEN w.root = c.root THEN c.parent END AS parent FROM {p}cut1 c LEFT JOIN {p}cut1 w ON w.run = c.run AND w.pos = c.parent AND w.split WHERE c.split),
+    {judged(2)},
+    {p} AS MATERIALIZED (SELECT run, pos, root AS cluster, parent IS NOT NULL AS follows, s, clash, false AS noted FROM {p}cut1 WHERE NOT split
+      UNION ALL SELECT run, pos, CASE WHEN split THEN pos ELSE root END, parent IS NOT NULL AND NOT split, s, clash, parent IS NULL OR split FROM {p}cut2)"""
+
+
+def _ranked_sql(p: str, wanted: str, placed: str, but: str = "false") -> str:
+    """`{p}rank`: the 20 best clusters of the wanted documents, without those that `but` names."""
+    return f"""{p}heads AS MATERIALIZED (SELECT run, cluster, arg_min(topic, pos) AS topic, list_distinct(flatten(list(kw))) AS kw FROM {placed} JOIN d USING (run, pos) GROUP BY run, cluster),
+    {p}rank AS MATERIALIZED (SELECT a.run, a.pos, b.cluster, false AS inside FROM {wanted} w JOIN d a ON a.run = w.run AND a.pos = w.pos JOIN {p}heads b ON b.run = a.run WHERE NOT ({but})
+      QUALIFY row_number() OVER (PARTITION BY a.run, a.pos ORDER BY CASE WHEN a.topic = b.topic THEN 1e0 ELSE 0e0 END + {JAC} DESC, b.cluster) <= 20)"""
+
+
+def _against_sql(p: str, pairs: str, placed: str) -> str:
+    """`{p}(run, pos, cluster, inside, s, clash)`: a document and a centre; `inside` leaves the document out of the centre."""
+    return f"""{p}mean AS MATERIALIZED (SELECT run, cluster, list(x ORDER BY k) AS m, max(c) AS c FROM (SELECT run, cluster, k, avg(x) AS x, count(*) AS c
+        FROM (SELECT run, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM {placed} JOIN d USING (run, pos)) GROUP BY run, cluster, k) GROUP BY run, cluster),
+    {p}facts AS MATERIALIZED (SELECT q.run, q.pos, q.cluster, q.inside, count(DISTINCT o.topic) AS topics, coalesce(bool_or(o.topic = a.topic), false) AS same_topic, count(DISTINCT o.loc) AS locs,
+        coalesce(bool_or(o.loc = a.loc), false) AS same_loc, min(o.t) AS low, max(o.t) AS high, count(o.pos) AS others
+      FROM {pairs} q JOIN d a USING (run, pos) JOIN {placed} m ON m.run = q.run AND m.cluster = q.cluster LEFT JOIN d o ON o.run = m.run AND o.pos = m.pos AND NOT (q.inside AND m.pos = q.pos) GROUP BY q.run, q.pos, q.cluster, q.inside),
+    {p}parts AS (SELECT f.run, f.pos, f.cluster, f.inside, d.loc IS NOT NULL AND locs > 0 AND NOT same_loc AS clash,
+        CASE WHEN others > 0 THEN list_transform(range(1, len(v) + 1), lambda i: CASE WHEN inside THEN m[i] * c - v[i] ELSE m[i] END) END AS w, v, n,
+        ((CASE WHEN topics > 0 THEN CASE WHEN same_topic THEN 1e0 / topics ELSE 0e0 END ELSE 0e0 END) + CASE WHEN d.loc IS NOT NULL AND locs > 0 AND same_loc THEN 1e0 / locs ELSE 0e0 END)
+          / nullif(CASE WHEN topics > 0 THEN 1 ELSE 0 END + CASE WHEN d.loc IS NOT NULL AND locs > 0 THEN 1 ELSE 0 END, 0) AS ent,
+        pow(0.5e0, CASE WHEN d.t < low THEN low - d.t WHEN d.t > high THEN d.t - high WHEN d.t IS NOT NULL AND low IS NOT NULL THEN 0 END * 7200e0 / 86400 / 30) AS tim
+      FROM {p}facts f JOIN d USING (run, pos) JOIN {p}mean m ON m.run = f.run AND m.cluster = f.cluster),
+    {p} AS MATERIALIZED (SELECT run, pos, cluster, inside, clash, coalesce(round((0.55e0 * coalesce(cos, 0) + 0.15e0 * coalesce(ent, 0) + 0.1e0 * coalesce(tim, 0))
+        / nullif(CASE WHEN cos IS NULL THEN 0 ELSE 0.55e0 END + CASE WHEN ent IS NULL THEN 0 ELSE 0.15e0 END + CASE WHEN tim IS NULL THEN 0 ELSE 0.1e0 END, 0), 6), 0) AS s
+      FROM (SELECT *, greatest(0e0, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])) / (n * sqrt(list_sum(list_transform(w, lambda x: x * x))))) AS cos FROM {p}parts))"""
+
+
+def _best_sql(p: str, found: str) -> str:
+    return f"{p} AS MATERIALIZED (SELECT * FROM {found} QUALIFY row_number() OVER (PARTITION BY run, pos ORDER BY s DESC, cluster) = 1)"
+
+
+_E9 = f"""WITH RECURSIVE {VEC}, d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t NULLS LAST, id) - 1 AS pos FROM
+      (SELECT id // 100 AS run, id, CASE WHEN id % 13 <> 12 THEN id END AS t, topic, kw, v, n, CASE WHEN id % 4 = 0 THEN (id // 4) % 2 END AS loc FROM vec WHERE id % 41 <> 40)),
+    twins AS MATERIALIZED (SELECT run, pos, head AS other FROM (SELECT run, pos, min(pos) OVER (PARTITION BY run, topic, list_sort(kw), v, loc) AS head FROM d) WHERE head < pos),
+    met AS (SELECT a.run, a.pos, b.pos AS other FROM d a JOIN d b ON a.run = b.run AND b.pos < a.pos
+        QUALIFY row_number() OVER (PARTITION BY a.run, a.pos ORDER BY CASE WHEN a.topic = b.topic THEN 1e0 ELSE 0e0 END + {JAC} DESC, b.pos) <= 20
+      UNION FROM twins),
+    pairs AS MATERIALIZED (SELECT m.*, coalesce(a.loc <> b.loc, false) AS clash,
       round((0.55e0 * {COS} + 0.15e0 * (CASE WHEN a.topic = b.topic THEN 1e0 ELSE 0e0 END + CASE WHEN a.loc = b.loc THEN 1e0 ELSE 0e0 END) / (CASE WHEN a.loc IS NOT NULL AND b.loc IS NOT NULL THEN 2 ELSE 1 END)
         + coalesce(0.1e0 * pow(0.5e0, abs(a.t - b.t) * 7200e0 / 86400 / 30), 0)) / (0.7e0 + CASE WHEN a.t IS NULL OR b.t IS NULL THEN 0e0 ELSE 0.1e0 END), 6) AS s
-      FROM met m JOIN d a ON a.id = m.later JOIN d b ON b.id = m.earlier),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY later ORDER BY s DESC, ob, earlier) AS r FROM pairs) x WHERE r = 1),
-    told AS MATERIALIZED (SELECT d.run, d.id, d.o, d.loc, b.s, b.clash, CASE WHEN NOT b.clash AND b.s >= 0.55 THEN b.earlier END AS parent FROM d LEFT JOIN best b ON b.later = d.id),
-    up1(id, root) AS (SELECT id, id FROM told WHERE parent IS NULL UNION ALL SELECT t.id, u.root FROM told t JOIN up1 u ON t.parent = u.id),
-    cut AS MATERIALIZED (SELECT t.*, coalesce(t.loc <> h.loc, false) AS split FROM told t JOIN up1 u ON u.id = t.id JOIN told h ON h.id = u.root),
-    up2(id, root) AS (SELECT id, id FROM cut WHERE parent IS NULL OR split UNION ALL SELECT t.id, u.root FROM cut t JOIN up2 u ON t.parent = u.id WHERE NOT t.split),
-    placed AS MATERIALIZED (SELECT c.*, u.root, c.parent IS NOT NULL AND NOT c.split AS follows FROM cut c JOIN up2 u ON u.id = c.id),
-    means AS (SELECT x.id, p.root AS home, round(avg(x.s), 6) AS m, bool_or(x.clash) AS bad FROM (SELECT later AS id, earlier AS other, s, clash FROM pairs UNION ALL SELECT earlier, later, s, clash FROM pairs) x JOIN placed p ON p.id = x.other GROUP BY x.id, p.root),
-    stay AS (SELECT p.id, coalesce(max(m.m), 0) AS stay FROM placed p LEFT JOIN means m ON m.id = p.id AND m.home = p.root WHERE p.follows GROUP BY p.id),
-    go AS (SELECT s.id, m.home, m.m FROM stay s JOIN placed p ON p.id = s.id JOIN means m ON m.id = s.id AND m.home <> p.root AND NOT m.bad
-      QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY m.m DESC, (p.run || ':' || m.home) DESC) = 1),
-    final AS (SELECT p.*, g.m AS gm, coalesce(g.home, p.root) AS c FROM placed p LEFT JOIN (SELECT go.* FROM go JOIN stay USING (id) WHERE go.m >= 0.55 AND round(go.m - stay.stay, 6) >= 0.1) g ON g.id = p.id),
-    numbered AS (SELECT run, c, row_number() OVER (PARTITION BY run ORDER BY min(struct_pack(o := o, id := id))) - 1 AS no FROM final GROUP BY run, c)
-    SELECT f.run AS run_id, f.id AS article_id, n.no AS cluster_index, CASE WHEN gm IS NOT NULL THEN 'moved' WHEN follows THEN 'attach' ELSE 'create' END AS action, coalesce(gm, s, 0e0) AS similarity,
-      concat_ws(',', CASE WHEN clash OR (NOT follows AND split) THEN 'LOCATION_CONFLICT' END, CASE WHEN NOT follows AND NOT clash AND s >= 0.4 AND s < 0.55 THEN 'AMBIGUOUS_AFTER_REFINEMENT' END, CASE WHEN gm IS NOT NULL THEN 'MOVE_MARGIN_MET' END) AS reasons,
-      CASE WHEN s IS NULL THEN '' ELSE 'TFIDF_UNAVAILABLE' END AS warnings
-    FROM final f JOIN numbered n ON n.run = f.run AND n.c = f.c
-    UNION ALL SELECT id // 100, id, NULL, 'deferred', 0e0, 'INSUFFICIENT_EVIDENCE', '' FROM vec WHERE id % 41 = 40"""
+      FROM met m JOIN d a ON a.run = m.run AND a.pos = m.pos JOIN d b ON b.run = m.run AND b.pos = m.other),
+    unsure AS MATERIALIZED (SELECT run, pos FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY run, pos ORDER BY s DESC, other) = 1) WHERE NOT clash AND s >= 0.4 AND s < 0.55),
+    aside AS MATERIALIZED (FROM unsure UNION SELECT t.run, t.pos FROM twins t JOIN unsure u ON u.run = t.run AND u.pos = t.other),
+    rest AS MATERIALIZED (SELECT * FROM d ANTI JOIN aside USING (run, pos)),
+    open_pairs AS MATERIALIZED (SELECT * FROM pairs p WHERE (run, pos) NOT IN (SELECT (run, pos) FROM aside) AND (run, other) NOT IN (SELECT (run, pos) FROM aside)),
+    {_seeded_sql('seeds', 'rest', 'open_pairs')},
+    {_ranked_sql('retry', 'aside', 'seeds')},
+    {_against_sql('heard_all', 'retryrank', 'seeds')},
+    {_best_sql('heard', 'heard_all')},
+    fits AS (SELECT * FROM heard WHERE NOT clash AND s >= 0.55),
+    failed AS MATERIALIZED (SELECT a.run, a.pos, h.s, h.clash FROM aside a LEFT JOIN heard h USING (run, pos) WHERE h.s IS NULL OR h.clash OR h.s < 0.55),
+    failed_docs AS MATERIALIZED (SELECT d.* FROM d SEMI JOIN failed USING (run, pos)),
+    among AS MATERIALIZED (SELECT * FROM pairs WHERE (run, pos) IN (SELECT (run, pos) FROM failed) AND (run, other) IN (SELECT (run, pos) FROM failed)),
+    {_seeded_sql('fresh', 'failed_docs', 'among')},
+    placed AS MATERIALIZED (SELECT run, pos, cluster, follows, s, clash, noted, false AS ambiguous, false AS late FROM seeds
+      UNION ALL SELECT run, pos, cluster, true, s, clash, false, true, false FROM fits
+      UNION ALL SELECT run, pos, cluster, follows, CASE WHEN follows THEN f.s ELSE x.s END, CASE WHEN follows THEN f.clash ELSE x.clash END, noted, true, NOT follows AND NOT coalesce(x.clash, true) FROM fresh f JOIN failed x USING (run, pos)),
+    followers AS MATERIALIZED (SELECT run, pos, cluster AS own FROM placed WHERE follows),
+    {_ranked_sql('move', 'followers', 'placed', 'b.cluster = w.own')},
+    versus AS MATERIALIZED (SELECT * FROM moverank UNION ALL SELECT run, pos, own, true FROM followers),
+    {_against_sql('moving', 'versus', 'placed')},
+    away AS (SELECT * FROM moving WHERE NOT inside), {_best_sql('there', 'away')},
+    moves AS (SELECT t.* FROM there t JOIN moving h ON h.run = t.run AND h.pos = t.pos AND h.inside WHERE NOT t.clash AND t.s >= 0.55 AND round(t.s - h.s, 6) >= 0.1),
+    final AS MATERIALIZED (SELECT p.*, m.s AS ms, coalesce(m.cluster, p.cluster) AS c FROM placed p LEFT JOIN moves m USING (run, pos)),
+    numbered AS (SELECT run, c, row_number() OVER (PARTITION BY run ORDER BY min(pos)) - 1 AS no FROM final GROUP BY run, c)
+    SELECT f.run AS run_id, d.id AS article_id, n.no AS cluster_index, CASE WHEN ambiguous THEN 'ambiguous' WHEN follows THEN 'attach' ELSE 'create' END AS first_action,
+      CASE WHEN ms IS NOT NULL THEN 'moved' WHEN follows THEN 'attach' ELSE 'create' END AS action, coalesce(ms, s, 0e0) AS similarity,
+      concat_ws(',', CASE WHEN (clash AND ms IS NULL) OR noted THEN 'LOCATION_CONFLICT' END, CASE WHEN late THEN 'AMBIGUOUS_AFTER_REFINEMENT' END, CASE WHEN ms IS NOT NULL THEN 'MOVE_MARGIN_MET' END) AS reasons,
+      CASE WHEN s IS NULL AND ms IS NULL THEN '' ELSE 'TFIDF_UNAVAILABLE' END AS warnings
+    FROM final f JOIN d ON d.run = f.run AND d.pos = f.pos JOIN numbered n ON n.run = f.run AND n.c = f.c
+    UNION ALL SELECT id // 100, id, NULL, 'deferred', 'deferred', 0e0, 'INSUFFICIENT_EVIDENCE', '' FROM vec WHERE id % 41 = 40"""
 
 
 @query("E9_cluster_runs", _E9)
 def _(t):
-    return ev.cluster_runs(run_documents(t)).select(
-        "run_id", "article_id", "cluster_index", "action", "similarity", F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"))
+    return clustering.cluster_runs(run_documents(t)).select(
+        "run_id", "article_id", "cluster_index", "first_action", "action", "similarity", F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("E10_nearest_event", f"""WITH {VEC}, b AS (SELECT * FROM vec WHERE id % 10 = 0), s AS (SELECT a.id AS article_id, b.id AS event_id, round({COS}, 6) AS s FROM vec a CROSS JOIN b WHERE a.id % 10 <> 0),

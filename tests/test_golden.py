@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from murmur.config import AggregationConfig
 from murmur.functions import text as tx
-from murmur.operators import dedup, events, features, heat, hooks, ingest, lifecycle, propagation, risk, sentiment, topics
+from murmur.operators import clustering, dedup, events, features, heat, hooks, ingest, lifecycle, propagation, risk, sentiment, topics
 from murmur.sources import readers
 
 DAY = dt.date(2026, 7, 1)
@@ -177,11 +177,11 @@ def test_clustering_attach_ambiguous_conflict(spark):
     rows = [doc(1, 1, [1.0, 0.0]), doc(1, 2, [0.99, 0.1]), doc(1, 3, [0.0, 1.0]), doc(2, 1, [1.0, 0.0], {"location": ["北京"]}), doc(2, 2, [1.0, 0.0], {"location": ["上海"]}), doc(3, 1, None)]
     schema = "run_id long, article_id long, effective_time timestamp, topic_category string, keywords array<string>, entities map<string,array<string>>, bge_vector array<double>, tfidf_vector array<double>"
     docs = spark.createDataFrame(rows, schema)
-    got = {(r.run_id, r.article_id): (r.cluster_index, r.action) for r in events.cluster_runs(docs).collect()}
+    got = {(r.run_id, r.article_id): (r.cluster_index, r.action) for r in clustering.cluster_runs(docs).collect()}
     assert got[(1, 1)] == (0, "create") and got[(1, 2)] == (0, "attach") and got[(1, 3)] == (1, "create")
     assert got[(2, 1)][0] != got[(2, 2)][0]
     assert got[(3, 1)] == (None, "deferred")
-    shuffled = events.cluster_runs(docs.orderBy(F.desc("article_id")).repartition(3))
+    shuffled = clustering.cluster_runs(docs.orderBy(F.desc("article_id")).repartition(3))
     assert {(r.run_id, r.article_id): (r.cluster_index, r.action) for r in shuffled.collect()} == got
     assert len(got) == len(rows)
 
@@ -190,7 +190,7 @@ def test_a_run_of_any_size_comes_back_whole(spark):
     docs = spark.range(1000).selectExpr(
         "7L AS run_id", "id AS article_id", "timestamp_seconds(id * 60) AS effective_time", "'t' AS topic_category", "array('k') AS keywords",
         "map('topic', array('t')) AS entities", "array(cos(id % 3), sin(id % 3)) AS bge_vector", "CAST(NULL AS ARRAY<DOUBLE>) AS tfidf_vector")
-    got = events.cluster_runs(docs).collect()
+    got = clustering.cluster_runs(docs).collect()
     assert len(got) == 1000 and {r.action for r in got} <= {"attach", "create", "moved"} and len({r.cluster_index for r in got}) == 1 + max(r.cluster_index for r in got)
 
 
