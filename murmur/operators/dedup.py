@@ -295,6 +295,8 @@ def resolve_chains(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
         if count in (0, last_moved):
             break
         last_moved = count
+    else:
+        raise RuntimeError("chains did not settle; raise max_rounds")
     # a settled root points at itself; on a cycle no id ever does
     settled = pointers.where("duplicate_of_id is null or duplicate_of_id = article_id").select(
         F.col("article_id").alias("root_id"), F.lit(True).alias("_ok")
@@ -315,29 +317,60 @@ def url_collisions(rows: DataFrame) -> DataFrame:
     )
 
 
-def two_key_dedup(rows: DataFrame, order: str) -> DataFrame:
+def two_key_dedup(rows: DataFrame, order: str, max_rounds: int = 60) -> DataFrame:
     """Keep a row unless its url key or its (platform, source id) key is held by an earlier kept row.
 
-    Both keys must be free of earlier *kept* rows, so candidates are settled in rounds: a row that is first
-    under both keys is kept, rows sharing a key with a kept one fall, the rest goes to the next round."""
-    keyed = rows.withColumns({
-        "_u": F.concat(F.lit("url:"), F.lower(F.trim(F.coalesce("source_url", F.lit(""))))),
-        "_s": F.when(F.coalesce("source_article_id", F.lit("")) != "", F.concat_ws(":", F.lit("source"), "platform", "source_article_id")),
-    })
-    open_rows = cut_lineage(keyed.select(order, "_u", "_s"))
-    kept = None
-    while True:
-        first_u = open_rows.groupBy("_u").agg(F.min(order).alias("_fu"))
-        first_s = open_rows.where("_s is not null").groupBy("_s").agg(F.min(order).alias("_fs"))
-        marked = open_rows.join(first_u, "_u").join(first_s, "_s", "left").select(
-            order, "_u", "_s",
-            ((F.col(order) == F.col("_fu")) & (F.coalesce("_fs", F.col(order)) == F.col(order))).alias("_keep"),
-        )
+    Rows are edges between two kinds of keys, settled in row order. In a round a row that is first of the open rows under
+    all its keys is kept. One that is first under one key and second under the other is kept exactly if the row before it
+    falls; such dependencies form chains that alternate, and their ends are found by pointer doubling with a parity, so a
+    chain of any length costs a logarithm of steps in one round. Settled rows go, with all rows under the keys of kept
+    ones. The earliest open row is always settled, so the rounds end; `order` must be unique."""
+    keyed = rows.select(
+        F.col(order).alias("at"), F.concat(F.lit("url:"), F.lower(F.trim(F.coalesce("source_url", F.lit(""))))).alias("u"),
+        F.when(F.coalesce("source_article_id", F.lit("")) != "", F.concat_ws(":", F.lit("source"), "platform", "source_article_id")).alias("s"))
+    open_rows = cut_lineage(keyed)
+    kept = []
+    for _ in range(max_rounds):
+        marked = open_rows
+        for key in ("u", "s"):
+            own = marked.where(F.col(key).isNotNull())
+            first = own.groupBy(key).agg(F.min("at").alias(f"{key}1"))
+            marked = marked.join(first, key, "left")
         marked = cut_lineage(marked)
-        now = marked.where("_keep").select(order, "_u", "_s")
-        kept = now if kept is None else kept.unionByName(now)
-        rest = marked.where("not _keep").select(order, "_u", "_s")
-        rest = rest.join(now.select("_u"), "_u", "left_anti").join(now.where("_s is not null").select("_s"), "_s", "left_anti")
-        open_rows = cut_lineage(rest)
+        for key in ("u", "s"):
+            second = marked.where(F.col("at") > F.col(f"{key}1")).groupBy(key).agg(F.min("at").alias(f"{key}2"))
+            marked = marked.join(second, key, "left")
+        leads = lambda key: F.coalesce(F.col("at") == F.col(f"{key}1"), F.lit(True))
+        follows = lambda key: F.coalesce(F.col("at") == F.col(f"{key}2"), F.lit(False))
+        waits_for = F.when(leads("u") & follows("s"), F.col("s1")).when(leads("s") & follows("u"), F.col("u1"))
+        # under both keys second to one and the same row: that row decides alone
+        waits_for = F.coalesce(waits_for, F.when(follows("u") & follows("s") & (F.col("u1") == F.col("s1")), F.col("u1")))
+        state = cut_lineage(marked.select("at", "u", "s", (leads("u") & leads("s")).alias("free"), waits_for.alias("before")))
+        known = _alternating(state.where("free or before is not null").select("at", "free", "before"))
+        now = cut_lineage(state.select("at", "u", "s").join(known.where("stays"), "at").select("at", "u", "s"))
+        kept.append(now.select("at"))
+        rest = open_rows.join(known.select("at"), "at", "left_anti")
+        rest = rest.join(now.select("u"), "u", "left_anti").join(now.where("s is not null").select("s"), "s", "left_anti")
+        open_rows = cut_lineage(rest.select("at", "u", "s"))
         if open_rows.isEmpty():
-            return rows.join(kept.select(order), order, "left_semi")
+            whole = kept[0]
+            for more in kept[1:]:
+                whole = whole.unionByName(more)
+            return rows.join(whole.withColumnRenamed("at", order), order, "left_semi")
+    raise RuntimeError("two-key rows did not settle; raise max_rounds")
+
+
+def _alternating(nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """`(at, stays)` of the nodes whose chain `before` ends in a free node: those at an even distance stay.
+
+    A node that is free stays, its follower falls, the next one stays. Distances double every step."""
+    state = cut_lineage(nodes.select("at", F.coalesce("before", "at").alias("end"), F.col("before").isNotNull().alias("odd")))
+    for _ in range(max_rounds):
+        ahead = state.where("end <> at").select(F.col("at").alias("end"), F.col("end").alias("_end"), F.col("odd").alias("_odd"))
+        moved = cut_lineage(state.join(ahead, "end", "left").select(
+            "at", F.coalesce("_end", "end").alias("end"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_end").isNotNull().alias("_moved")))
+        state = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            free = nodes.where("free").select(F.col("at").alias("end"))
+            return state.join(free, "end", "left_semi").select("at", (~F.col("odd")).alias("stays"))
+    raise RuntimeError("chains did not settle; raise max_rounds")

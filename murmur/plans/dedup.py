@@ -123,11 +123,13 @@ def _(t):
     return dedup.url_collisions(rows)
 
 
-@query("D10_two_key_dedup", """WITH RECURSIVE s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n, user_id % 60 AS u, event_type || CAST(event_id % 41 AS VARCHAR) AS k FROM events WHERE event_type = 'click'),
-    w AS (SELECT n, event_id, true AS keep, [u] AS us, [k] AS ks FROM s WHERE n = 1 UNION ALL
-      SELECT s.n, s.event_id, NOT (list_contains(us, u) OR list_contains(ks, k)), CASE WHEN list_contains(us, u) OR list_contains(ks, k) THEN us ELSE list_append(us, u) END,
-        CASE WHEN list_contains(us, u) OR list_contains(ks, k) THEN ks ELSE list_append(ks, k) END FROM w JOIN s ON s.n = w.n + 1)
-    SELECT event_id FROM w WHERE keep""")
+# no key spans two users, so the rows of a user are walked by themselves, with the keys of kept rows in two lists
+@query("D10_two_key_dedup", """WITH s AS (SELECT user_id, struct_pack(id := event_id, u := 'u' || CAST(event_id * 7 % 23 AS VARCHAR), k := event_type || CAST(event_id % 11 AS VARCHAR)) AS r FROM events),
+    walked AS (SELECT list_reduce(list(r ORDER BY r.id), lambda w, e: CASE WHEN list_contains(w.us, e.u) OR list_contains(w.ks, e.k) THEN w
+      ELSE struct_pack(ids := list_append(w.ids, e.id), us := list_append(w.us, e.u), ks := list_append(w.ks, e.k)) END,
+      struct_pack(ids := CAST([] AS BIGINT[]), us := CAST([] AS VARCHAR[]), ks := CAST([] AS VARCHAR[]))) AS w FROM (SELECT user_id, r FROM s) GROUP BY user_id)
+    SELECT unnest(w.ids) AS event_id FROM walked""")
 def _(t):
-    rows = t.events.where("event_type = 'click'").selectExpr("event_id", "event_type AS platform", "CAST(user_id % 60 AS STRING) AS source_url", "CAST(event_id % 41 AS STRING) AS source_article_id")
+    rows = t.events.selectExpr(
+        "event_id", "concat(event_type, '/', user_id) AS platform", "concat(user_id, '/u', event_id * 7 % 23) AS source_url", "CAST(event_id % 11 AS STRING) AS source_article_id")
     return dedup.two_key_dedup(rows, "event_id").select("event_id")

@@ -198,11 +198,11 @@ def _(t):
     return risk.assess(risk_articles(t)).select("article_id", "interaction_anomaly", "fast_spread")
 
 
-@query("R6_suspicious_score", f"WITH {RISK} SELECT id AS article_id, round(f1 + f2 + f3 + f4 + f5 + f6, 6) AS features, s >= 40 AS is_suspicious, np <= 1 AS alone FROM assessed")
+@query("R6_suspicious_score", f"WITH {RISK} SELECT id AS article_id, round(f1 + f2 + f3 + f4 + f5 + f6, 6) AS features, s >= 40 AS is_suspicious, np <= 1 AS alone, round(s, 1) AS score FROM assessed")
 def _(t):
     a = risk.assess(risk_articles(t))
     total = sum((F.col(f) for f in risk.WEIGHTS), F.lit(0.0))
-    return a.select("article_id", F.round(total, 6).alias("features"), "is_suspicious", (F.col("cross_platform_corroboration") == 1).alias("alone"))
+    return a.select("article_id", F.round(total, 6).alias("features"), "is_suspicious", (F.col("cross_platform_corroboration") == 1).alias("alone"), "score")
 
 
 @query("P6_risk_gray_zone", f"WITH {RISK} SELECT id AS article_id FROM assessed WHERE round(s, 1) BETWEEN 30 AND 70")
@@ -218,16 +218,17 @@ def _(t):
     return risk.merge_reviews(assessed, t.events.select(F.col("event_id").alias("article_id"), body.alias("content"))).select("article_id", "reason", "method", "review_confidence")
 
 
-@query("R8_event_risk", f"WITH {RISK} SELECT event_id, count(*) FILTER (WHERE s >= 40) AS suspicious_count, count(*) AS total_count, CASE WHEN avg(round(s, 1)) >= 70 THEN '高风险' WHEN avg(round(s, 1)) >= 40 THEN '中风险' ELSE '低风险' END AS level FROM assessed GROUP BY 1")
+@query("R8_event_risk", f"WITH {RISK} SELECT event_id, count(*) FILTER (WHERE s >= 40) AS suspicious_count, count(*) AS total_count, CASE WHEN avg(round(s, 1)) >= 70 THEN '高风险' WHEN avg(round(s, 1)) >= 40 THEN '中风险' ELSE '低风险' END AS level, CAST(round(CAST(avg(round(s, 1)) AS DECIMAL(18, 9)), 1) AS DOUBLE) AS score FROM assessed GROUP BY 1")
 def _(t):
-    return risk.event_risk(risk.assess(risk_articles(t))).select("event_id", "suspicious_count", "total_count", "level")
+    return risk.event_risk(risk.assess(risk_articles(t))).select("event_id", "suspicious_count", "total_count", "level", "score")
 
 
-@query("R9_risk_radar", f"""WITH {RISK}, b AS (SELECT event_id, count(*) AS n, avg(inter) AS av, count(DISTINCT platform) AS p, (max(id) - min(id)) / 24e0 AS d FROM ra GROUP BY 1)
+@query("R9_risk_radar", f"""WITH {RISK}, b AS (SELECT event_id, count(*) AS n, avg(inter) AS av, count(DISTINCT platform) AS p, (max(id) - min(id)) / 24e0 AS d FROM ra GROUP BY 1),
+    r AS (SELECT event_id, CAST(round(CAST(avg(round(s, 1)) AS DECIMAL(18, 9)), 1) AS DOUBLE) AS score, count(*) FILTER (WHERE s >= 40) * 100e0 / count(*) AS share FROM assessed GROUP BY 1)
     SELECT event_id, metric, CAST(floor(greatest(0, least(100, v)) + 0.5e0) AS INT) AS value FROM (SELECT event_id, '传播活跃度' AS metric, n / d / (n / d + 10) * 100 AS v FROM b
-      UNION ALL SELECT event_id, '平台覆盖', p / 8e0 * 100 FROM b UNION ALL SELECT event_id, '互动强度', ln(1 + av) / ln(10001e0) * 100 FROM b UNION ALL SELECT event_id, '负面占比', 25 FROM b) x""")
+      UNION ALL SELECT event_id, '平台覆盖', p / 8e0 * 100 FROM b UNION ALL SELECT event_id, '互动强度', ln(1 + av) / ln(10001e0) * 100 FROM b UNION ALL SELECT event_id, '负面占比', (event_id % 7) / 7e0 * 100 FROM b
+      UNION ALL SELECT event_id, '可疑风险', score FROM r UNION ALL SELECT event_id, '可疑报道率', share FROM r) x""")
 def _(t):
     a = risk_articles(t)
-    negative = a.select("event_id").distinct().withColumn("negative_ratio", F.lit(0.25))
-    shown = risk.radar(a, risk.event_risk(risk.assess(a)), negative)
-    return shown.where(F.col("metric").isin("传播活跃度", "平台覆盖", "互动强度", "负面占比"))
+    negative = a.select("event_id").distinct().withColumn("negative_ratio", F.col("event_id") % 7 / 7)
+    return risk.radar(a, risk.event_risk(risk.assess(a)), negative)

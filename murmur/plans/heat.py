@@ -217,10 +217,10 @@ def _(t):
     SELECT event_id, hot_rank, count(*) AS n FROM (
       SELECT user_id AS event_id, CAST(json_extract_string(props, '$.k') AS INT) AS hot_rank FROM events
       WHERE event_type = 'signup' AND CAST(json_extract_string(props, '$.k') AS INT) <> 0
-      UNION ALL SELECT user_id, CAST(event_id % 50 AS INT) FROM events WHERE event_type = 'click') x
+      UNION ALL SELECT user_id, CAST(event_id % 50 AS INT) FROM events WHERE event_type <> 'signup') x
     GROUP BY event_id, hot_rank""")
 def _(t):
-    seeds = t.events.where("event_type = 'click'").selectExpr("user_id AS event_id", "event_id % 50 AS source_rank")
+    seeds = t.events.where("event_type <> 'signup'").selectExpr("user_id AS event_id", "event_id % 50 AS source_rank")
     listed = t.events.where("event_type = 'signup'").selectExpr(
         "user_id AS event_id", "'hotlist' AS source_type", "replace(props, '\"k\"', '\"rank\"') AS raw_json")
     return heat.hotlist_ranks(seeds, listed).groupBy("event_id", "hot_rank").agg(F.count("*").alias("n"))
@@ -375,12 +375,12 @@ def _(t):
     WITH q AS (SELECT trim(title, '#') AS query, seed_id, rank FROM hot_seed),
     best AS (SELECT query, min(rank) AS source_rank FROM q GROUP BY query),
     found AS (SELECT DISTINCT concat('topic ', CAST(user_id AS VARCHAR)) AS query, event_id AS article_id, event_type AS platform
-      FROM events WHERE value < 1),
+      FROM events),
     bridge AS (SELECT DISTINCT seed_id AS seed_article_id, q.query AS search_query, article_id, platform, source_rank
       FROM q JOIN best b ON q.query = b.query JOIN found f ON f.query = q.query)
     SELECT * FROM bridge WHERE article_id % 10 <> 0"""))
 def _(t):
-    found = t.events.where("value < 1").selectExpr(
+    found = t.events.selectExpr(
         "concat('topic ', user_id) AS search_query", "event_id AS article_id", "event_type AS platform")
     stored = hotlist.expansion_bridge(t.hot_seed, found.where("article_id % 10 = 0"))
     return hotlist.expansion_bridge(t.hot_seed, found, stored)
