@@ -183,9 +183,11 @@ def _(t):
     return risk_articles(t).select("article_id", F.round(risk.title_consistency(F.col("title"), F.col("clean_content")), 6).alias("score"))
 
 
-@query("R3_corroboration", f"WITH {RISK} SELECT id AS article_id, ps AS platforms FROM corr")
+@query("R3_corroboration", f"""WITH {RISK}, backed AS (SELECT id, list_sort(list(DISTINCT other)) AS others FROM link WHERE other <> id GROUP BY id)
+    SELECT id AS article_id, ps AS platforms, CAST(coalesce(len(others), 0) AS BIGINT) AS evidence_count, coalesce(array_to_string(others[1:20], ','), '') AS evidence_ids FROM corr LEFT JOIN backed USING (id)""")
 def _(t):
-    return risk.corroboration(risk_articles(t)).select("article_id", F.array_join("corroborating_platforms", ",").alias("platforms"))
+    return risk.corroboration(risk_articles(t)).select(
+        "article_id", F.array_join("corroborating_platforms", ",").alias("platforms"), "evidence_count", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
 @query("R4_event_context", f"WITH {RISK} SELECT event_id, round(av, 6) AS avg_interactions, off AS has_official_media FROM ctx")
