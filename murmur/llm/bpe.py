@@ -27,7 +27,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Entries of the tables that a task keeps (words, and pairs of tokens); a full table is started anew.
-KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
+KEPT_WORDS, KEPT_PAIRS = 100_000, 250_000
+#: Characters of the texts whose words are gathered at once; a longer text stands alone.
+BLOCK_CHARS = 2_000_000
 # fixed values: the split pattern of the word BPE, and forms of it that match the same and faster
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9]+", re.ASCII)
@@ -201,7 +203,17 @@ class WordBpe:
         return self._library
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text. The table of words is tested before every block of texts, so it holds what one block adds beyond its limit."""
+        out: list[np.ndarray] = []
+        first, size = 0, 0
+        for at, text in enumerate(texts):
+            if size and size + len(text) > BLOCK_CHARS:
+                out += self._encode_block(texts[first:at])
+                first, size = at, 0
+            size += len(text)
+        return out + self._encode_block(texts[first:])
+
+    def _encode_block(self, texts: list[str]) -> list[np.ndarray]:
         words = []
         for text in texts:
             if any(token in text for token in self.added):

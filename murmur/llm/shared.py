@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MASK = (1 << 64) - 1
 _BLOCK = 1 << 20
+#: Bytes of a row group in stored tables.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, so a lost executor repeats no earlier stage."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a writer holds one in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
