@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from murmur.functions.ranking import top_per_group
 from murmur.functions.text import SPACE
 from murmur.operators.dedup import connected_components
+from murmur.session import cut_lineage
 
 FAN_BITS = 12
 FAN_OUT = 1 << FAN_BITS
@@ -118,35 +119,71 @@ def upsert_articles(existing: DataFrame, incoming: DataFrame, id_base: Column |
     return updated.unionByName(fresh)
 
 
-def snapshot_rows(observations: DataFrame, throttle_seconds: int = 3600) -> DataFrame:
+#: Visits of a post are cut into slices of this many seconds; windows see one slice, or the list of a post's slices.
+SLICE_SECONDS = 900
+
+
+def snapshot_rows(observations: DataFrame, throttle_seconds: int = 3600, max_rounds: int = 60) -> DataFrame:
     """Observations worth storing: the first, every content or status change, and metric changes at least one
     hour after the last stored one. Raw content is kept only where it changed.
 
-    The metric rule looks back to the last *stored* row, so it folds over one post's crawl times; the rows
-    folded are the handful of times a single post was visited, without their content."""
-    o = observations.withColumns({
-        "_state": F.xxhash64(F.col("content_hash"), F.coalesce("http_status", F.lit(-1)), F.coalesce("fetch_status", F.lit("")), F.coalesce("fetch_error", F.lit(""))),
-        "_metrics": F.xxhash64(*[F.coalesce(F.col(m).cast("long"), F.lit(-1)) for m in _METRICS]),
-        "_t": F.unix_micros("crawled_at"),
-    })
-    visits = o.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("_t", "observation_id", "_state", "_metrics", "content_hash"))).alias("v"))
-    zero = F.struct(
-        F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("state"), F.lit(None).cast("bigint").alias("metrics"),
-        F.lit(None).cast("string").alias("content"),
-        F.array().cast("array<struct<observation_id:bigint,content_changed:boolean>>").alias("kept"))
-
-    def step(acc, x):
-        changed = acc["t"].isNull() | (acc["content"] != x["content_hash"])
-        due = (acc["metrics"] != x["_metrics"]) & (x["_t"] - acc["t"] >= throttle_seconds * 1_000_000)
-        keep = acc["t"].isNull() | (acc["state"] != x["_state"]) | due
-        pick = lambda new, old: F.when(keep, new).otherwise(old)
-        entry = F.array(F.struct(x["observation_id"].cast("bigint").alias("observation_id"), F.coalesce(changed, F.lit(True)).alias("content_changed")))
-        return F.struct(
-            pick(x["_t"], acc["t"]).alias("t"), pick(x["_state"], acc["state"]).alias("state"), pick(x["_metrics"], acc["metrics"]).alias("metrics"),
-            pick(x["content_hash"], acc["content"]).alias("content"), pick(F.concat(acc["kept"], entry), acc["kept"]).alias("kept"))
-
-    kept = visits.select(F.explode(F.aggregate("v", zero, step)["kept"]).alias("k")).select("k.*")
-    return observations.join(kept, "observation_id")
+    A visit whose state differs from the visit before is always stored, so a post falls into stretches of equal state. In a
+    stretch every visit points to the one that would be stored after it: the first an hour on whose metrics differ, either
+    that visit or the next change of metrics behind it. The stored ones are those that the pointers reach from the heads of
+    the stretches, found by doubling. Slices of time bound the windows, so a post may have any number of visits."""
+    order = ["_t", "observation_id"]
+    o = observations.select(
+        "article_id", "observation_id", F.unix_micros("crawled_at").alias("_t"), "content_hash",
+        F.xxhash64(F.col("content_hash"), F.coalesce("http_status", F.lit(-1)), F.coalesce("fetch_status", F.lit("")), F.coalesce("fetch_error", F.lit(""))).alias("_state"),
+        F.xxhash64(*[F.coalesce(F.col(m).cast("long"), F.lit(-1)) for m in _METRICS]).alias("_metrics"))
+    width = SLICE_SECONDS * 1_000_000
+    o = o.withColumns({"_slice": F.floor(F.col("_t") / width), "_at": F.struct(*order)})
+    key = ["article_id", "_slice"]
+    inside = W.partitionBy(*key).orderBy(*order)
+    slices = o.groupBy(*key).agg(F.max_by(F.struct("_state", "_metrics", "content_hash"), "_at").alias("_last"))
+    slices = slices.withColumn("_before", F.lag("_last").over(W.partitionBy("article_id").orderBy("_slice")))
+    own = F.struct("_state", "_metrics", "content_hash")
+    v = o.withColumn("_prev", F.lag(own).over(inside)).join(slices.drop("_last"), key).withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
+    v = cut_lineage(v.withColumns({
+        "_head": F.col("_prev").isNull() | (F.col("_prev._state") != F.col("_state")), "_turn": F.col("_prev").isNull() | (F.col("_prev._metrics") != F.col("_metrics")),
+        "_renewed": F.col("_prev").isNull() | F.coalesce(F.col("_prev.content_hash") != F.col("content_hash"), F.lit(True))}).drop("_prev"))
+    # behind every visit: the next head and the next change of metrics, in its slice or the first of a later slice
+    later, behind = inside.rowsBetween(1, W.unboundedFollowing), W.partitionBy("article_id").orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+    firsts = v.groupBy(*key).agg(F.min("_at").alias("_first"), F.min(F.when(F.col("_head"), F.col("_at"))).alias("_h"), F.min(F.when(F.col("_turn"), F.col("_at"))).alias("_m"))
+    firsts = firsts.select(*key, *[F.min(c).over(behind).alias(f"{c}_behind") for c in ("_first", "_h", "_m")])
+    v = v.withColumns({"_next_head": F.min(F.when(F.col("_head"), F.col("_at"))).over(later), "_next_turn": F.min(F.when(F.col("_turn"), F.col("_at"))).over(later)})
+    v = v.join(firsts, key).withColumns({"_next_head": F.coalesce("_next_head", "_h_behind"), "_next_turn": F.coalesce("_next_turn", "_m_behind")})
+    v = cut_lineage(v.drop("_h_behind", "_m_behind"))
+    # an hour on: the first visit at or behind that moment, in the moment's slice or the first of a later one
+    due = F.col("_t") + throttle_seconds * 1_000_000
+    asked = v.select("article_id", F.floor(due / width).alias("_slice"), F.struct(due.alias("_t"), F.lit(-(1 << 63)).alias("observation_id")).alias("_at"), F.col("_at").alias("_from"))
+    every = v.select("article_id", "_slice", "_at", F.lit(None).cast(v.schema["_at"].dataType).alias("_from"), F.col("_at").alias("_visit")).unionByName(
+        asked.withColumn("_visit", F.lit(None).cast(v.schema["_at"].dataType)))
+    met = every.withColumn("_found", F.min("_visit").over(W.partitionBy(*key).orderBy("_at").rowsBetween(W.currentRow, W.unboundedFollowing)))
+    met = met.where("_from is not null").select("article_id", "_slice", "_from", "_found")
+    # slices without visits have no row of their own: the next one is looked up in the order of slices
+    marks = firsts.select(*key).join(v.groupBy(*key).agg(F.min("_at").alias("_low")), key)
+    wanted = met.where("_found is null").select(*key).distinct().withColumn("_low", F.lit(None).cast(v.schema["_at"].dataType))
+    ahead = marks.unionByName(wanted).groupBy(*key).agg(F.min("_low").alias("_low"))
+    ahead = ahead.withColumn("_ahead", F.min("_low").over(behind)).select(*key, "_ahead")
+    met = met.join(ahead, key, "left").select("article_id", F.col("_from").alias("_at"), F.coalesce("_found", "_ahead").alias("_due"))
+    there = v.select("article_id", F.col("_at").alias("_due"), F.col("_metrics").alias("_then"), F.col("_next_turn").alias("_then_turn"))
+    to = F.when(F.col("_then") != F.col("_metrics"), F.col("_due")).otherwise(F.col("_then_turn"))
+    pointers = v.join(met, ["article_id", "_at"]).join(there, ["article_id", "_due"]).withColumn("_to", to).where(
+        F.col("_to").isNotNull() & (F.col("_next_head").isNull() | (F.col("_to") < F.col("_next_head"))))
+    jumps = cut_lineage(pointers.select("article_id", "_at", "_to"))
+    stored = cut_lineage(v.where("_head").select("article_id", "_at"))
+    for _ in range(max_rounds):
+        if jumps.isEmpty():
+            break
+        stored = cut_lineage(stored.unionByName(stored.join(jumps, ["article_id", "_at"]).select("article_id", F.col("_to").alias("_at"))).distinct())
+        onward = jumps.select("article_id", F.col("_at").alias("_to"), F.col("_to").alias("_beyond"))
+        jumps = cut_lineage(jumps.join(onward, ["article_id", "_to"]).select("article_id", "_at", F.col("_beyond").alias("_to")))
+    else:
+        raise RuntimeError("stored rows did not settle; raise max_rounds")
+    # the content of the last stored row is that of the visit before: inside a stretch of one state it never changes
+    kept = v.join(stored, ["article_id", "_at"]).select("observation_id", "_renewed")
+    return observations.join(kept.withColumnRenamed("_renewed", "content_changed"), "observation_id")
 
 
 def processing_log(preprocessed: DataFrame, key: str) -> DataFrame:
