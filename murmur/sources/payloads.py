@@ -216,7 +216,32 @@ def feed_entries(feeds: DataFrame) -> DataFrame:
     return with_contract(docs).where("source_url is not null")
 
 
+_TEXT = "struct<_VALUE:string>"
+_FEED_ROW = (
+    "title string, link array<struct<_VALUE:string,_href:string>>, content string, encoded string, description string, summary string, "
+    f"guid {_TEXT}, id string, pubDate string, published string, updated string, _broken string")
+
+
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Feed files, one document per file."""
-    return feed_entries(spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("feed_url"), F.col("value").alias("payload")))
+    """Documents of feed files: every RSS `item` and Atom `entry` is a row of the XML source, so a file of any size is split.
+
+    Text that is no well-formed XML is kept as a failed document in `raw_json`, from the broken entry on; entries without a link are dropped."""
+    def rows(tag: str) -> DataFrame:
+        source = spark.read.format("xml").schema(_FEED_ROW).option("rowTag", tag).option("ignoreNamespace", True).option("mode", "PERMISSIVE")
+        read = source.option("columnNameOfCorruptRecord", "_broken").load(path).withColumn("feed_url", F.input_file_name())
+        # broken text turns up under every row tag: it belongs to the tag it holds
+        return read.where(F.col("_broken").isNull() | F.col("_broken").rlike(f"<(\\w+:)?{tag}[\\s>]"))
+
+    found = rows("item").unionByName(rows("entry"))
+    clean = {n: F.nullif(F.trim(F.col(n)), F.lit("")) for n in ("title", "content", "encoded", "description", "summary", "id", "pubDate", "published", "updated")}
+    guid = F.nullif(F.trim(F.col("guid._VALUE")), F.lit(""))
+    links = F.filter(F.transform("link", lambda x: F.coalesce(F.nullif(F.trim(x["_VALUE"]), F.lit("")), F.nullif(F.trim(x["_href"]), F.lit("")))), lambda x: x.isNotNull())
+    link, own_id = F.get(links, F.lit(0)), F.coalesce(guid, clean["id"])
+    content = F.coalesce(clean["content"], clean["encoded"], clean["description"], clean["summary"], F.lit(""))
+    broken = F.col("_broken").isNotNull()
+    docs = found.select(
+        "feed_url", F.lit("rss").alias("platform"), link.alias("source_url"), F.coalesce(own_id, link).alias("source_article_id"), F.coalesce(clean["title"], F.lit("")).alias("title"),
+        content.alias("raw_content"), F.lit("rss").alias("source_type"), F.coalesce(clean["pubDate"], clean["published"], clean["updated"]).alias("publish_time"),
+        F.when(content.contains("<"), "html").otherwise("text").alias("content_type"), F.when(broken, "failed").alias("fetch_status"), F.when(broken, "INVALID_XML").alias("fetch_error"),
+        F.when(broken, F.col("_broken")).otherwise(F.to_json(F.struct("feed_url", own_id.alias("id")))).alias("raw_json"))
+    return with_contract(docs.withColumn("fetch_status", F.coalesce("fetch_status", F.lit("success")))).where("source_url is not null or fetch_status = 'failed'")

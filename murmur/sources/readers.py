@@ -33,10 +33,22 @@ def with_contract(rows: DataFrame) -> DataFrame:
     return rows.select(*extra, *columns)
 
 
+CORRUPT = "_corrupt"
+
+
 def read_raw_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Landed documents as JSON lines or Parquet, never with an inferred schema."""
-    reader = spark.read.schema(RAW_DOCUMENT)
-    return with_contract(reader.json(path) if fmt == "json" else reader.parquet(path))
+    """Landed documents as JSON lines or Parquet, never with an inferred schema.
+
+    A JSON line that is no object of the contract's types comes back as a failed document: its text is `raw_json`, the
+    fields that could be read are kept."""
+    if fmt != "json":
+        return with_contract(spark.read.schema(RAW_DOCUMENT).parquet(path))
+    schema = T.StructType([*RAW_DOCUMENT.fields, T.StructField(CORRUPT, _S)])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    broken = F.col(CORRUPT).isNotNull()
+    return with_contract(rows.withColumns({
+        "fetch_status": F.when(broken, "failed").otherwise(F.col("fetch_status")), "fetch_error": F.when(broken, "INVALID_JSON").otherwise(F.col("fetch_error")),
+        "raw_json": F.when(broken, F.col(CORRUPT)).otherwise(F.col("raw_json"))}).drop(CORRUPT))
 
 
 def read_import_json(spark: SparkSession, path: str) -> DataFrame:
