@@ -262,13 +262,17 @@ def _(t):
 
 
 @query("E16_event_representation", f"""WITH {VEC} SELECT topic AS event_id, count(*) FILTER (WHERE id % 4 <> 0) AS member_count, (SELECT string_agg(DISTINCT k, ',' ORDER BY k) FROM (SELECT topic AS tt, unnest(kw) AS k FROM vec) z WHERE z.tt = topic) AS keywords,
-    (SELECT string_agg(DISTINCT '@u' || CAST(id % 6 AS VARCHAR), ',') FROM vec v2 WHERE false) AS none, string_agg(DISTINCT CASE WHEN id % 4 <> 0 THEN '@u' || CAST(id % 6 AS VARCHAR) END, ',' ORDER BY CASE WHEN id % 4 <> 0 THEN '@u' || CAST(id % 6 AS VARCHAR) END) AS mentions FROM vec GROUP BY topic""")
+    (SELECT string_agg(DISTINCT '@u' || CAST(id % 6 AS VARCHAR), ',') FROM vec v2 WHERE false) AS none, string_agg(DISTINCT CASE WHEN id % 4 <> 0 THEN '@u' || CAST(id % 6 AS VARCHAR) END, ',' ORDER BY CASE WHEN id % 4 <> 0 THEN '@u' || CAST(id % 6 AS VARCHAR) END) AS mentions,
+    (SELECT round(list_sum(list_transform(range(1, len(c) + 1), lambda i: i * c[i])) / sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) FROM
+      (SELECT list(x ORDER BY k) AS c FROM (SELECT k, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM vec w WHERE w.topic = vec.topic AND w.id % 4 <> 0) GROUP BY k))) AS centre
+    FROM vec GROUP BY topic""")
 def _(t):
     v = vectors(t)
     members = v.select(F.col("topic_category").alias("event_id"), "article_id", "vector", (F.col("article_id") % 4 != 0).alias("is_representative"),
                        F.array(F.concat(F.lit("@u"), F.col("article_id") % 6)).alias("mentions"), F.array().cast("array<string>").alias("topics"))
     out = ev.event_representations(members, v.select("article_id", F.explode("keywords").alias("term")))
-    return out.select("event_id", "member_count", F.array_join("keywords", ",").alias("keywords"), F.lit(None).cast("string").alias("none"), F.array_join(F.col("entities")["mention"], ",").alias("mentions"))
+    return out.select("event_id", "member_count", F.array_join("keywords", ",").alias("keywords"), F.lit(None).cast("string").alias("none"), F.array_join(F.col("entities")["mention"], ",").alias("mentions"),
+                      F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("centre"))
 
 
 def _assigned(t):

@@ -371,6 +371,18 @@ def _(t):
         F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen_at"))
 
 
+@query("H21_seed_members", with_views("hot_seed", """SELECT DISTINCT trim(title, '#') AS query, seed_id FROM hot_seed"""))
+def _(t):
+    return hotlist.seed_members(t.hot_seed)
+
+
+@query("H21_seed_order", with_views("hot_seed", """SELECT query, CAST(row_number() OVER (ORDER BY best, platforms DESC, query) AS INT) AS rank FROM (
+      SELECT trim(title, '#') AS query, coalesce(min(rank), 1000000) AS best, count(DISTINCT platform) AS platforms FROM hot_seed GROUP BY 1) x QUALIFY rank <= 50"""))
+def _(t):
+    # the list that is served: the first fifty merged seeds
+    return ranking.top_overall(hotlist.merge_seeds(t.hot_seed), hotlist.seed_order(), 50).select("query", "rank")
+
+
 @query("H22_seed_expansion", with_views("hot_seed", """
     WITH q AS (SELECT trim(title, '#') AS query, seed_id, rank FROM hot_seed),
     best AS (SELECT query, min(rank) AS source_rank FROM q GROUP BY query),

@@ -15,7 +15,11 @@ def _(t):
     return t.documents.select("doc_id", F.round(hooks.text_scorer(_share_of_e)("text"), 6).alias("score"))
 
 
-@query("U1_lexicon_mood", None)
+_P, _N = (f"len(regexp_extract_all(lower(coalesce(text, '')), '{'|'.join(words)}'))" for words in (hooks.POSITIVE, hooks.NEGATIVE))
+
+
+@query("U1_lexicon_mood", f"""WITH c AS (SELECT doc_id, {_P} AS p, {_N} AS n FROM documents), m AS (SELECT doc_id, CASE WHEN p + n = 0 THEN 0.5e0 ELSE p / CAST(p + n AS DOUBLE) END AS p FROM c)
+    SELECT doc_id, CASE WHEN p >= 0.6 THEN 'positive' WHEN p <= 0.4 THEN 'negative' ELSE 'neutral' END AS label, round(2 * p - 1, 6) AS score, round(least(0.75e0, abs(round(2 * p - 1, 6))), 6) AS confidence FROM m""")
 def _(t):
     rows = t.documents.select("doc_id", hooks.lexicon_probability(F.col("text")).alias("probability"), F.lit("其他").alias("topic_category"))
     return sentiment.from_probability(rows).select("doc_id", "label", "score", "confidence")

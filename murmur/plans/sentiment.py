@@ -178,14 +178,20 @@ def _(t):
       count(DISTINCT platform) AS platform_count,
       concat_ws(',', CASE WHEN count(*) FILTER (WHERE publish_time IS NULL) > 0 THEN 'TIME_SOURCE_DEGRADED' END,
         CASE WHEN min(pn) < 3 OR min(pr) < 2 THEN 'PLATFORM_SAMPLE_INSUFFICIENT' END) AS warnings,
+      any_value(days) AS days, any_value(platforms) AS platforms,
       CASE WHEN count(*) FILTER (WHERE is_representative AND publish_time IS NOT NULL) / CAST(count(*) FILTER (WHERE is_representative) AS DOUBLE) >= 0.8 THEN 'high'
         WHEN count(*) FILTER (WHERE is_representative AND publish_time IS NOT NULL) / CAST(count(*) FILTER (WHERE is_representative) AS DOUBLE) >= 0.5 THEN 'medium' ELSE 'low' END AS time_confidence
     FROM (SELECT *, count(*) OVER (PARTITION BY event_id, platform) AS pn,
-      count(*) FILTER (WHERE is_representative) OVER (PARTITION BY event_id, platform) AS pr FROM sentiment_item) x GROUP BY event_id"""))
+      count(*) FILTER (WHERE is_representative) OVER (PARTITION BY event_id, platform) AS pr FROM sentiment_item) x
+    JOIN (SELECT event_id, string_agg(concat(d, ':', n), ',' ORDER BY d) AS days FROM (SELECT event_id, CAST(coalesce(publish_time, observed_time) AS DATE) AS d, count(*) AS n FROM sentiment_item GROUP BY 1, 2) GROUP BY 1) USING (event_id)
+    JOIN (SELECT event_id, string_agg(concat(platform, ':', n), ',' ORDER BY platform) AS platforms FROM (SELECT event_id, platform, count(*) AS n FROM sentiment_item GROUP BY 1, 2) GROUP BY 1) USING (event_id)
+    GROUP BY event_id"""))
 def _(t):
     return sentiment.event_snapshot(t.sentiment_item).select(
         "event_id", "article_count", F.size("days").cast("long").alias("day_count"),
-        F.size("platforms").cast("long").alias("platform_count"), F.array_join("warnings", ",").alias("warnings"), "time_confidence")
+        F.size("platforms").cast("long").alias("platform_count"), F.array_join("warnings", ",").alias("warnings"), "time_confidence",
+        F.array_join(F.transform("days", lambda d: F.concat_ws(":", d["day"].cast("string"), d["article_count"])), ",").alias("days"),
+        F.array_join(F.transform("platforms", lambda p: F.concat_ws(":", p["platform"], p["article_count"])), ",").alias("platforms"))
 
 
 @query("M12_current_sentiment", with_views("sentiment_item", """
