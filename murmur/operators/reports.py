@@ -76,12 +76,17 @@ def newest_articles(articles: DataFrame, count: int = 200) -> DataFrame:
     return top_per_group(articles, ["event_id"], [F.desc_nulls_last("publish_time"), F.asc("article_id")], count, "position")
 
 
-def event_reports(events: DataFrame, trend: DataFrame, platforms: DataFrame, sentiment: DataFrame, risk: DataFrame, keywords: DataFrame) -> DataFrame:
-    """One nested row per event from the finished tables; every array holds days, platforms or keywords."""
+def event_reports(
+    events: DataFrame, trend: DataFrame, platforms: DataFrame, sentiment: DataFrame, risk: DataFrame, keywords: DataFrame, articles: DataFrame | None = None,
+) -> DataFrame:
+    """One nested row per event from the finished tables; every array holds days, platforms, keywords or the newest articles."""
     listed = lambda df, name, *cols: df.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     rows = events.join(listed(trend, "trend", "day", "count", "heat"), "event_id", "left")
     rows = rows.join(listed(platforms, "platform_share", "platform_name", "count", "percentage"), "event_id", "left")
     rows = rows.join(listed(keywords, "keywords", (-F.col("weight")).alias("w"), "term"), "event_id", "left")
+    if articles is not None:
+        shown = [c for c in ("article_id", "title", "platform", "publish_time") if c in articles.columns]
+        rows = rows.join(listed(newest_articles(articles), "articles", "position", *shown), "event_id", "left")
     rows = rows.join(sentiment.select("event_id", "positive_ratio", "negative_ratio", "neutral_ratio", F.col("summary").alias("sentiment_summary")), "event_id", "left")
     return rows.join(risk.select("event_id", F.struct("score", "level", "suspicious_count", "total_count", "factors").alias("risk")), "event_id", "left")
 

@@ -38,13 +38,17 @@ def _report(t):
     ids = t.events.select(F.col("user_id").alias("event_id")).distinct()
     risk = ids.selectExpr("event_id", "CAST(event_id % 90 AS DOUBLE) AS score", "'低风险' AS level", "1L AS suspicious_count", "2L AS total_count", "array('x') AS factors")
     keywords = ids.selectExpr("event_id", "'k' AS term", "1.0D AS weight")
-    return reports.event_reports(event_rows(t).select("event_id", "title", "summary"), trend, platforms, mood, risk, keywords)
+    articles = t.heat_article.select("event_id", "article_id", "platform", "publish_time")
+    return reports.event_reports(event_rows(t).select("event_id", "title", "summary"), trend, platforms, mood, risk, keywords, articles)
 
 
 @query("Q2_event_report", with_views("heat_article", f"""SELECT user_id AS event_id, (SELECT least(14, count(DISTINCT CAST(publish_time AS DATE))) FROM heat_article h WHERE h.event_id = e.user_id) AS trend_days,
-    count(DISTINCT CASE WHEN event_type IN ('view', 'click') THEN event_type END) AS platform_count, CAST(user_id % 90 AS DOUBLE) AS risk_score FROM events e GROUP BY user_id"""))
+    count(DISTINCT CASE WHEN event_type IN ('view', 'click') THEN event_type END) AS platform_count, CAST(user_id % 90 AS DOUBLE) AS risk_score,
+    (SELECT string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY p) FROM (SELECT event_id, article_id, row_number() OVER (PARTITION BY event_id ORDER BY publish_time DESC NULLS LAST, article_id) AS p FROM heat_article) n
+      WHERE n.event_id = e.user_id AND p <= 200) AS newest FROM events e GROUP BY user_id"""))
 def _(t):
-    return _report(t).select("event_id", F.size("trend").cast("long").alias("trend_days"), F.size(F.coalesce("platform_share", F.array())).cast("long").alias("platform_count"), F.col("risk.score").alias("risk_score"))
+    return _report(t).select("event_id", F.size("trend").cast("long").alias("trend_days"), F.size(F.coalesce("platform_share", F.array())).cast("long").alias("platform_count"), F.col("risk.score").alias("risk_score"),
+                             F.array_join(F.transform("articles", lambda a: a["article_id"].cast("string")), ",").alias("newest"))
 
 
 @query("Q3_platform_distribution", f"""SELECT event_id, platform, CASE platform WHEN 'weibo' THEN '微博搜索' ELSE 'B站' END AS platform_name, count, round(percentage, 6) AS percentage FROM (
