@@ -194,7 +194,8 @@ def rebuilt(codes: DataFrame, codebooks: np.ndarray, code: str = "code", vector:
 def summed_by(rows: DataFrame, group: str, value: str, total: str, salts: int = 16) -> DataFrame:
     """Adds the sum of `value` over the rows of equal `group` (nulls together).
 
-    Sums come from partial aggregates; rows meet them under a salt, so that a group of any share is dealt to many tasks."""
+    Sums come from partial aggregates; rows meet them under a salt, so that a group of any share is dealt to many tasks.
+    Helper columns start with `_sum_`."""
     sums = rows.groupBy(F.col(group).alias("_sum_of")).agg(F.sum(value).alias("_sum_total"))
     sums = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_sum_salt"))
     salted = rows.drop(total).withColumn("_sum_own", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
