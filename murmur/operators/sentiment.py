@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from murmur.config import SENTIMENT_LABELS, SentimentConfig
 from murmur.functions.ranking import top_per_group
-from murmur.functions.text import collapse
+from murmur.functions.text import collapse, fixed_point
 from murmur.operators.heat import time_confidence
 
 
@@ -117,11 +117,11 @@ def summary_sentence(reasons: Column | None = None) -> Column:
         F.when(F.col("dominant_label") == "positive", "正面").when(F.col("dominant_label") == "negative", "负面")
         .when(F.col("dominant_label") == "neutral", "中立").otherwise("暂无")
     )
-    percent = lambda label: F.bround(F.col(f"{label}_ratio") * 100, 1)
+    percent = lambda label: fixed_point(F.col(f"{label}_ratio") * 100, 1)
     text = F.format_string(
-        "共分析%d篇文章，主导情感为%s；正面%.1f%%、负面%.1f%%、中立%.1f%%，加权平均分%.3f。",
+        "共分析%d篇文章，主导情感为%s；正面%s%%、负面%s%%、中立%s%%，加权平均分%s。",
         F.col("article_count"), name, percent("positive"), percent("negative"), percent("neutral"),
-        F.bround("average_score", 3),
+        fixed_point(F.col("average_score"), 3),
     )
     if reasons is None:
         return text

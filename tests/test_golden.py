@@ -293,3 +293,13 @@ def test_id_parents_anywhere_in_the_event(spark):
     assert len(roots) == 40 and not roots[5]  # article 6 names a later one and may not fall back on the author
     inside = found.where("target_id <> 5").count()
     assert propagation.origin_counts(posts, tile=8).first().origin_candidate_count <= 45 - inside
+
+
+def test_fixed_point_rounds_the_exact_binary_value(spark):
+    values = [(x, d) for d in (1, 3) for x in (0.0665, 0.0375, -0.0004, -0.0, 0.0, 0.5, 0.25, 0.0625, -0.0625, 12.35, 43.85, 99.95, 100.0, -1.0, 0.9995, 41.800000000000004)]
+    rnd = random.Random(5)
+    values += [(rnd.randint(-2000, 2000) / 2000, 3) for _ in range(300)] + [(rnd.randint(0, 2000) / 20, 1) for _ in range(300)]
+    for digits in (1, 3):
+        part = [(x,) for x, d in values if d == digits]
+        got = spark.createDataFrame(part, "x double").select("x", tx.fixed_point(F.col("x"), digits).alias("t")).collect()
+        assert [(r.x, r.t) for r in got if r.t != f"{r.x:.{digits}f}"] == []
