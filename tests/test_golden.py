@@ -303,3 +303,10 @@ def test_fixed_point_rounds_the_exact_binary_value(spark):
         part = [(x,) for x, d in values if d == digits]
         got = spark.createDataFrame(part, "x double").select("x", tx.fixed_point(F.col("x"), digits).alias("t")).collect()
         assert [(r.x, r.t) for r in got if r.t != f"{r.x:.{digits}f}"] == []
+
+
+def test_event_risk_mean_at_a_tie_does_not_depend_on_row_order(spark):
+    scores = [31.4, 32.9, 31.8, 30.1]  # as doubles their mean is 31.549999999999997
+    rows = [(e, s, False, ["x"]) for e, order in enumerate((scores, scores[::-1], sorted(scores))) for s in order]
+    df = spark.createDataFrame(rows, "event_id long, score double, is_suspicious boolean, reasons array<string>").coalesce(1)
+    assert {r.score for r in risk.event_risk(df).collect()} == {31.6}
