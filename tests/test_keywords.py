@@ -43,3 +43,10 @@ def test_all_keyword_rows(spark):
         room = 10 - len(have)
         fill = [w for w in graph_rank(words) if w not in have and w not in tx.TEMPLATE_TERMS and not w.replace(".", "", 1).isdigit()][: max(0, room)]
         assert [r.term for r in own] == have + fill
+
+
+def test_served_keywords_pass_nothing_through_the_driver(spark):
+    from murmur.plans import catalog
+
+    plan = catalog.QUERIES["F8_served_event_keywords"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" in plan
