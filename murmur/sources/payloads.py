@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from murmur.functions.text import unescape_only
+from murmur.session import fence
 from murmur.sources.readers import api_error, with_contract
 
 
@@ -188,6 +189,8 @@ def baidu_hot(payloads: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 _FEED_FIELDS = ("title", "content", "description", "summary", "guid", "id", "pubDate", "published", "updated")
+# text pieces of every element with the name, so that repeated and mixed elements give their first piece
+_FEED_ENTRY = "link array<struct<_VALUE:array<string>,_href:string>>, " + ", ".join(f"{n} array<struct<_VALUE:array<string>>>" for n in _FEED_FIELDS)
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
@@ -198,14 +201,16 @@ def feed_entries(feeds: DataFrame) -> DataFrame:
     # field names are told apart without namespace prefixes
     bare = F.regexp_replace(F.regexp_replace("payload", "<(/?)\\w+:(\\w)", "<$1$2"), "\\sxmlns(:\\w+)?=\"[^\"]*\"", "")
     rows = feeds.select(*[c for c in feeds.columns if c != "payload"], F.posexplode(F.regexp_extract_all(bare, F.lit(entry), F.lit(0))).alias("position", "item"))
-    t = {n: F.get(F.xpath("item", F.lit(f"/*/{n}/text()")), F.lit(0)) for n in _FEED_FIELDS}
-    clean = {n: F.nullif(F.trim(c), F.lit("")) for n, c in t.items()}
+    # one parse for all fields; the fence keeps the filter on the link from parsing a second time
+    keep = [c for c in feeds.columns if c != "payload"]
+    rows = fence(rows.select(*keep, "position", F.from_xml("item", F.lit(_FEED_ENTRY), {"mode": "FAILFAST"}).alias("_x"))).select(*keep, "position", "_x.*")
+    texts = lambda n: F.flatten(F.filter(F.transform(n, lambda x: x["_VALUE"]), lambda v: v.isNotNull()))
+    clean = {n: F.nullif(F.trim(F.get(texts(n), F.lit(0))), F.lit("")) for n in _FEED_FIELDS}
     link = F.coalesce(
-        F.nullif(F.trim(F.get(F.xpath("item", F.lit("/*/link/text()")), F.lit(0))), F.lit("")),
-        F.get(F.xpath("item", F.lit("/*/link/@href")), F.lit(0)))
+        F.nullif(F.trim(F.get(texts("link"), F.lit(0))), F.lit("")),
+        F.get(F.filter(F.transform("link", lambda x: x["_href"]), lambda h: h.isNotNull()), F.lit(0)))
     content = F.coalesce(clean["content"], clean["description"], clean["summary"], F.lit(""))
     own_id = F.coalesce(clean["guid"], clean["id"])
-    keep = [c for c in feeds.columns if c != "payload"]
     docs = rows.select(
         *keep, "position", F.lit("rss").alias("platform"), link.alias("source_url"), F.coalesce(own_id, link).alias("source_article_id"),
         F.coalesce(clean["title"], F.lit("")).alias("title"), content.alias("raw_content"), F.lit("rss").alias("source_type"),

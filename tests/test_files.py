@@ -51,3 +51,18 @@ def test_import_files(spark, tmp_path):
     assert [(r["index"], r.source_url) for r in accepted.collect()] == [(0, "http://x.example/1")]
     bad = {r["index"]: (r.missing, r.field) for r in rejects.collect()}
     assert bad == {1: (["url", "title", "raw_content", "publish_time"], None), 2: (None, None), 3: ([], "url")}
+
+
+def test_feed_entries_parse_each_entry_once(spark):
+    from pyspark.sql import functions as F
+
+    from murmur.sources import payloads
+
+    feed = ("<feed xmlns=\"x\"><item><title>a <b>x</b> c</title><title>second</title><link>https://r</link><guid isPermaLink=\"false\">g1</guid></item>"
+            "<a:entry xmlns:a=\"y\"><a:title type=\"html\">atom &amp; v</a:title><a:link href=\"h1\"/><a:link href=\"h2\"/><a:summary><![CDATA[<p>x</p>]]></a:summary></a:entry>"
+            "<item><title>no link</title></item><item><author><title>deep</title></author><title>top</title><link> https://z </link><link href=\"k\"/><pubDate>now</pubDate></item></feed>")
+    df = payloads.feed_entries(spark.createDataFrame([("f", feed)], "feed_url string, payload string"))
+    got = [tuple(r) for r in df.orderBy("position").select("position", "title", "source_url", "source_article_id", "raw_content", "content_type").collect()]
+    assert got == [(0, "a", "https://r", "g1", "", "text"), (1, "atom & v", "h1", "h1", "<p>x</p>", "html"), (3, "top", "https://z", "https://z", "", "text")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1 and "xpath" not in plan
