@@ -3,8 +3,8 @@
 Near copies must agree on the title (bigram overlap >= .85) and on the body (Hamming distance <= 3).
 Both tests are turned into equality joins that miss no pair:
 
-* titles: two sets with overlap >= j differ in few elements, so when a set is cut into one more part than
-  the largest possible difference, at least one part is identical on both sides;
+* titles: two sets with overlap >= j differ in few elements, so when a set is cut into two more parts than
+  the largest possible difference, at least two parts are identical on both sides;
 * bodies: 64 bits cut into six blocks and at most three flipped bits leave three blocks intact.
 
 Joins run over distinct titles and distinct (title, hash) variants; identical copies are linked to their
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from murmur.functions.ranking import top_per_group
 from murmur.functions.text import SPACE, effective_length, jaccard, title_features
-from murmur.session import cut_lineage
+from murmur.session import cut_lineage, fence
 
 TITLE_OVERLAP = 0.85
 MAX_DISTANCE = 3
@@ -89,21 +89,26 @@ def pair_verdict(pairs: DataFrame) -> DataFrame:
 
 
 def _part_keys(titles: DataFrame) -> DataFrame:
-    """Explode a title set into (size class, part, part signature) keys.
+    """One row per key `_sig` of a title set: its size class and two of its parts.
 
     Size classes grow by 1/j, so overlapping sets lie in the same or in neighbouring classes; a set is
     cut for its own class and for the next one. Within a class sizes are below `limit`, which bounds the
-    possible difference and with it the number of parts."""
+    possible difference. A set is cut into two more parts than that, so two parts are intact on both sides;
+    one part alone holds about six bigrams, often none, and would bring together a share of all titles."""
     n = F.size("features").cast("double")
     step = -float(np.log(TITLE_OVERLAP))
     own = F.floor(F.log(n) / step + 1e-9)
-    classes = titles.withColumn("_class", F.explode(F.array(own, own + 1)))
-    # sizes joined in class c reach up to (1/j)^(c+1); the difference is at most (1-j)/(1+j) of both sizes
+    keep = [c for c in titles.columns if c != "features"]
+    classes = titles.select(*keep, F.transform("features", lambda f: F.xxhash64(f)).alias("_h"), F.explode(F.array(own, own + 1)).alias("_class"))
+    # sizes joined in class c reach up to (1/j)^(c+1); the difference is at most 2 (1-j)/(1+j) of that
     limit = F.exp((F.col("_class") + 1) * step)
-    parts = (F.floor(2 * limit * (1 - TITLE_OVERLAP) / (1 + TITLE_OVERLAP) + 1e-9) + 1).cast("int")
-    cut = classes.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    members = F.filter("features", lambda f: F.pmod(F.xxhash64(f), F.col("_parts")) == F.col("_part"))
-    return cut.select("title_key", "features", "_class", "_part", F.xxhash64(F.array_sort(members)).alias("_sig"))
+    cut = classes.withColumn("_parts", (F.floor(2 * limit * (1 - TITLE_OVERLAP) / (1 + TITLE_OVERLAP) + 1e-9) + 2).cast("int"))
+    part = lambda p: F.aggregate(F.filter("_h", lambda h: F.pmod(h, F.col("_parts")) == p), F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
+    cut = fence(cut.withColumn("_p", F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), part)).drop("_h"))
+    rest = lambda p: F.sequence(p + 1, F.col("_parts") - 1)
+    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_parts") - 2), lambda p: F.transform(
+        rest(p), lambda q: F.xxhash64("_class", p, q, F.get("_p", p), F.get("_p", q)))))
+    return cut.select(*keep, F.explode(keys).alias("_sig"))
 
 
 def similar_titles(titles: DataFrame) -> DataFrame:
@@ -111,12 +116,15 @@ def similar_titles(titles: DataFrame) -> DataFrame:
 
     `titles(title_key, features)` holds one row per distinct feature set."""
     keys = _part_keys(titles.where(F.size("features") > 0))
-    right = keys.select(
-        F.col("title_key").alias("_b"), F.col("features").alias("_fb"), "_class", "_part", "_sig"
-    )
-    candidates = keys.join(right, ["_class", "_part", "_sig"]).where(F.col("title_key") < F.col("_b"))
-    verified = candidates.where(jaccard(F.col("features"), F.col("_fb"), 1.0, 0.0) >= TITLE_OVERLAP)
-    return verified.select(F.col("title_key").alias("a"), F.col("_b").alias("b")).distinct()
+    met = keys.select(F.col("title_key").alias("a"), "_sig").join(keys.select(F.col("title_key").alias("b"), "_sig"), "_sig").where("a < b")
+    return _overlapping(met.select("a", "b").distinct(), titles.select(F.col("title_key").alias("k"), "features")).select("a", "b")
+
+
+def _overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs `(a, b, ..)` whose sets `(k, features)` overlap enough, with their overlap."""
+    sides = pairs.join(sets.select(F.col("k").alias("a"), F.col("features").alias("_fa")), "a").join(sets.select(F.col("k").alias("b"), F.col("features").alias("_fb")), "b")
+    scored = sides.withColumn("_overlap", jaccard(F.col("_fa"), F.col("_fb"), 1.0, 0.0)).drop("_fa", "_fb")
+    return scored.where(F.col("_overlap") >= TITLE_OVERLAP)
 
 
 _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -157,7 +165,7 @@ def duplicate_edges(prints: DataFrame) -> DataFrame:
 
     Equal bodies form a star around their first id. Near copies are found between variants, i.e. distinct
     (title set, similarity hash) combinations, and link the first ids of both variants."""
-    cols = prints.select("article_id", "content_hash", "sim", "title_key", "features", "title_length")
+    cols = cut_lineage(prints.select("article_id", "content_hash", "sim", "title_key", "features", "title_length"))
     first = cols.groupBy("content_hash").agg(F.min("article_id").alias("dst"))
     star = cols.join(first, "content_hash").where(F.col("article_id") != F.col("dst")).select(
         F.col("article_id").alias("src"), "dst", F.lit("hash").alias("method"), F.lit(1.0).alias("score")
@@ -170,24 +178,16 @@ def duplicate_edges(prints: DataFrame) -> DataFrame:
         F.col("article_id") != F.col("id")
     ).select(F.col("article_id").alias("src"), F.col("id").alias("dst"), F.lit("simhash").alias("method"), F.lit(1.0).alias("score"))
 
-    titles = variants.groupBy("title_key").agg(F.first("features").alias("features"))
-    # every title is its own neighbour; a neighbourhood is named after its smaller title
-    pairs = similar_titles(titles)
-    scopes = titles.select(F.col("title_key").alias("a"), F.col("title_key").alias("b")).unionByName(pairs)
-    sides = scopes.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("title_key"))
-    scoped = sides.join(variants, "title_key").select("a", "b", "title_key", "sim", "id", "features")
-    keyed = scoped.select("*", F.explode(block_keys(F.col("sim"))).alias("_k")).select("*", "_k.no", "_k.bits").drop("_k")
-    left = keyed.where(F.col("title_key") == F.col("a"))
-    right = keyed.where(F.col("title_key") == F.col("b")).select(
-        "a", "b", "no", "bits", F.col("sim").alias("sim_b"), F.col("id").alias("id_b"), F.col("features").alias("fb")
-    )
+    # both tests at once: variants meet on their titles' keys and stay only if their hashes are near
+    variants = cut_lineage(variants)
+    keys = _part_keys(variants.select("id", "sim", "features"))
+    other = keys.select(F.col("id").alias("b"), F.col("sim").alias("sim_b"), "_sig")
     distance = hamming(F.col("sim"), F.col("sim_b"))
-    near = left.join(right, ["a", "b", "no", "bits"]).where((F.col("id") != F.col("id_b")) & (distance <= MAX_DISTANCE))
-    overlap = jaccard(F.col("features"), F.col("fb"), 1.0, 0.0)
-    edges = near.select(
-        F.greatest("id", "id_b").alias("src"), F.least("id", "id_b").alias("dst"), F.lit("simhash").alias("method"),
-        F.round((overlap + 1 - distance / 64) / 2, 4).alias("score"),
-    ).distinct()
+    near = keys.join(other, "_sig").where((F.col("id") < F.col("b")) & (distance <= MAX_DISTANCE))
+    near = near.select(F.col("id").alias("a"), "b", distance.alias("_d")).distinct()
+    edges = _overlapping(near, variants.select(F.col("id").alias("k"), "features")).select(
+        F.col("b").alias("src"), F.col("a").alias("dst"), F.lit("simhash").alias("method"),
+        F.round((F.col("_overlap") + 1 - F.col("_d") / 64) / 2, 4).alias("score"))
     return star.unionByName(inside).unionByName(edges)
 
 
@@ -196,6 +196,7 @@ def pending_reviews(prints: DataFrame) -> DataFrame:
 
     A body resemblance counts for every article; a title resemblance needs two long titles. Only the first id
     of each distinct hash and title set takes part in the pairing."""
+    prints = cut_lineage(prints.select("article_id", "sim", "title_key", "features", "title_length"))
     body = prints.groupBy("sim").agg(F.min("article_id").alias("first"))
     near = similar_hashes(body.select("sim"), [])
     earliest_near = (

@@ -41,3 +41,24 @@ def test_a_long_alternating_chain_takes_few_rounds(spark, monkeypatch):
     got = dedup.two_key_dedup(rows, "at")
     assert got.count() == n // 2 and got.where("at % 2 = 1").isEmpty()
     assert len(cuts) < 40
+
+
+def test_title_keys_miss_no_pair_and_do_not_meet_on_empty_parts(spark):
+    from itertools import combinations
+    import random
+
+    from pyspark.sql import functions as F
+
+    from murmur.operators import dedup
+
+    rnd, words = random.Random(3), [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    sets = [set(rnd.sample(words, rnd.randint(8, 79))) for _ in range(400)]
+    for s in sets[:200]:  # near copies at and around the threshold
+        copy = set(s) - set(rnd.sample(sorted(s), rnd.randint(0, max(1, len(s) // 12))))
+        sets.append(copy | set(rnd.sample(words, rnd.randint(0, max(1, len(s) // 14)))))
+    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(sets), 2) if len(a & b) / len(a | b) >= dedup.TITLE_OVERLAP}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "title_key long, features array<string>")
+    got = {(r.a, r.b) for r in dedup.similar_titles(df).collect()}
+    assert got == want and len(want) > 60
+    met = dedup._part_keys(df).groupBy("_sig").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert met <= 4  # an empty part used to bring a share of all sets together
