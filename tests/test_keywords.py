@@ -50,3 +50,32 @@ def test_served_keywords_pass_nothing_through_the_driver(spark):
 
     plan = catalog.QUERIES["F8_served_event_keywords"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" in plan
+
+
+def test_gram_counts_do_not_depend_on_the_runs_they_are_counted_in(monkeypatch):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from murmur.operators import features
+
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice("abc") for _ in range(rnd.randint(0, 4))], [rnd.choice("abcd") for _ in range(rnd.choice((0, 1, 3, 60)))]) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"article_id": [r[0] for r in rows], "title_tokens": pa.array([r[1] for r in rows], pa.list_(pa.string())),
+                                        "body_tokens": pa.array([r[2] for r in rows], pa.list_(pa.string()))})
+    grams = lambda x: Counter(x) + Counter(f"{a} {b}" for a, b in zip(x, x[1:]))
+    want = {(i, term): (grams(a)[term], grams(b)[term], n) for i, a, b in rows for term, n in grams(a + b).items()}
+    cut = features._slices
+    for tokens in (1, 40, 10_000):
+        monkeypatch.setattr(features, "_slices", lambda b, t=tokens: cut(b, t))
+        got = [r for part in features._count_batches([batch]) for r in part.to_pylist()]
+        assert len(got) == len(want) and {(r["article_id"], r["term"]): (r["title_n"], r["body_n"], r["joint_n"]) for r in got} == want
+        known = [r for part in features._count_batches([batch], ["a", "b c", "zz"]) for r in part.to_pylist()]
+        assert {(r["article_id"], r["term"]) for r in known} == {k for k in want if k[1] in ("a", "b c")}
+        totals = Counter()
+        for part in features._total_batches([batch]):
+            for r in part.to_pylist():
+                totals[r["term"]] += complex(r["count"], r["df"])
+        assert totals == {t: complex(sum(v[2] for k, v in want.items() if k[1] == t), sum(k[1] == t for k in want)) for t in {k[1] for k in want}}
+    assert max(b.num_rows for b in cut(batch, 40)) < 50
