@@ -98,14 +98,21 @@ def xiaohongshu_search(payloads: DataFrame, limit: int | None = None) -> DataFra
     keep = [c for c in payloads.columns if c != "payload"]
     found = F.coalesce(_array(p, "data.data.items"), _array(p, "data.items"), _array(p, "data.data.notes"))
     card = F.coalesce(F.nullif(_get(i, "note_card"), F.lit("{}")), i)
-    user = F.coalesce(F.nullif(_get(card, "user"), F.lit("{}")), _get(i, "user"))
-    note_id = F.coalesce(F.nullif(_identifier(i, "id"), F.lit("")), _identifier(card, "note_id", "id"))
-    title = _plain_markup(_first(card, "display_title", "title"))
-    content = _plain_markup(F.coalesce(_first(card, "desc"), title))
+    # a value that later ones are read from is computed behind a fence, else each of them repeats it
+    rows = fence(_items(payloads, found, limit).select("*", card.alias("_card")))
+    card = F.col("_card")
+    rows = fence(rows.select(
+        "*", F.coalesce(F.nullif(_get(card, "user"), F.lit("{}")), _get(i, "user")).alias("_user"),
+        F.coalesce(F.nullif(_identifier(i, "id"), F.lit("")), _identifier(card, "note_id", "id")).alias("_id"),
+        _first(card, "display_title", "title").alias("_name"), _first(card, "desc").alias("_desc")))
+    rows = fence(rows.select("*", _plain_markup(F.col("_name")).alias("_title")))
+    rows = fence(rows.select("*", F.coalesce("_desc", "_title").alias("_body")))
+    rows = fence(rows.select("*", _plain_markup(F.col("_body")).alias("_content")))
+    user, note_id = F.col("_user"), F.col("_id")
     docs = _documents(
-        _items(payloads, found, limit), keep, platform=F.lit("xiaohongshu"),
+        rows, keep, platform=F.lit("xiaohongshu"),
         source_url=F.coalesce(_first(i, "url"), F.concat(F.lit("https://www.xiaohongshu.com/explore/"), note_id)),
-        source_article_id=note_id, title=F.coalesce(F.nullif(title, F.lit("")), F.lit("小红书笔记")), raw_content=content,
+        source_article_id=note_id, title=F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.lit("小红书笔记")), raw_content=F.col("_content"),
         source_type=F.lit("social"), author=_get(user, "nickname"), author_id=_get(user, "user_id"),
         likes_count=F.coalesce(_first(card, "interact_info.liked_count"), _get(card, "liked_count")),
         comments_count=F.coalesce(_first(card, "interact_info.comment_count"), _get(card, "comment_count")),

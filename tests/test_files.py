@@ -66,3 +66,14 @@ def test_feed_entries_parse_each_entry_once(spark):
     assert got == [(0, "a", "https://r", "g1", "", "text"), (1, "atom & v", "h1", "h1", "<p>x</p>", "html"), (3, "top", "https://z", "https://z", "", "text")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml") == 1 and "xpath" not in plan
+
+
+def test_note_answers_clean_each_text_once(spark):
+    from murmur.sources import payloads
+
+    answer = ('{"data":{"items":[{"id":"a","note_card":{"display_title":"x &amp;lt; <b>y</b>","user":{"nickname":"n","user_id":"u"}}},'
+              '{"note_card":{"note_id":"b","desc":"d &copy;"}},{"note_card":{"display_title":""}}]}}')
+    df = payloads.xiaohongshu_search(spark.createDataFrame([("f", answer)], "feed string, payload string"))
+    got = [tuple(r) for r in df.orderBy("position").select("position", "source_article_id", "title", "raw_content", "author_id").collect()]
+    assert got == [(0, "a", "x &lt; y", "x < y", "u"), (1, "b", "小红书笔记", "d ©", None)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("_py_unescape(") <= 4
