@@ -206,17 +206,16 @@ def reusable_results(targets: DataFrame, stored: DataFrame, cfg: SentimentConfig
 
 def with_inherited(targets: DataFrame, results: DataFrame) -> DataFrame:
     """Duplicates copy the result of their representative; without one they are skipped with a warning."""
-    own = results.select("article_id", "label", "score", "method")
-    origin = own.select(
-        F.col("article_id").alias("duplicate_of_id"), F.col("label").alias("_label"), F.col("score").alias("_score")
-    )
-    joined = targets.join(own, "article_id", "left").join(origin, "duplicate_of_id", "left")
-    copy = ~F.col("is_representative")
+    # a target reads one result, its own or its representative's, so one join does; targets without such an id
+    # would all meet in one task and go round it, and results grow with the articles, so nothing is broadcast
+    copy = F.coalesce(~F.col("is_representative"), F.lit(False))
+    found = results.select(F.col("article_id").alias("_key"), F.col("label").alias("_label"), F.col("score").alias("_score"), F.col("method").alias("_method"))
+    keyed = targets.withColumn("_key", F.when(copy, F.col("duplicate_of_id")).otherwise(F.col("article_id")))
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("_label", "_score", "_method")]
+    joined = keyed.where("_key is not null").join(found.hint("merge"), "_key", "left").unionByName(keyed.where("_key is null").select("*", *none))
     return joined.select(
-        *targets.columns,
-        F.when(copy, F.col("_label")).otherwise(F.col("label")).alias("label"),
-        F.when(copy, F.col("_score")).otherwise(F.col("score")).alias("score"),
-        F.when(copy & F.col("_label").isNotNull(), "inherited").when(~copy, F.col("method")).alias("method"),
+        *targets.columns, F.col("_label").alias("label"), F.col("_score").alias("score"),
+        F.when(copy & F.col("_label").isNotNull(), "inherited").when(F.col("is_representative"), F.col("_method")).alias("method"),
         F.when(copy & F.col("_label").isNull(), "INHERITANCE_SOURCE_MISSING").alias("warning"),
     )
 
