@@ -133,11 +133,16 @@ def summary_sentence(reasons: Column | None = None) -> Column:
     )
 
 
+#: Every code point with the Unicode property White_Space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_fence(content: Column) -> Column:
-    """Body of a ```json fenced answer, or the answer itself."""
-    text = F.regexp_replace(F.coalesce(content, F.lit("")), "(?U)^\\s+|\\s+$", "")
-    return F.when(text.rlike("(?is)^```(?:json)?\\s*.*?\\s*```$"),
-                  F.regexp_extract(text, "(?is)^```(?:json)?\\s*(.*?)\\s*```$", 1)).otherwise(text)
+    """Body of a ```json fenced answer, or the answer itself. Cut at the ends: a pattern would try every place of the text."""
+    text = F.btrim(F.coalesce(content, F.lit("")), F.lit(_BLANKS))
+    body = F.substring(text, F.lit(4), F.length(text) - 6)
+    body = F.when(F.lower(F.substring(body, 1, 4)) == "json", F.substring(body, 5, 1 << 30)).otherwise(body)
+    return F.when(text.startswith("```") & text.endswith("```") & (F.length(text) >= 6), F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))).otherwise(text)
 
 
 def validated_results(responses: DataFrame) -> DataFrame:

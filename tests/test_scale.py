@@ -1,6 +1,8 @@
 """Shapes of plans that decide how a query grows, and the results that must stay."""
 
-from murmur.operators import sentiment
+from pyspark.sql import functions as F
+
+from murmur.operators import features, sentiment
 
 
 def joins(df) -> list[str]:
@@ -19,3 +21,25 @@ def test_inherited_results_take_one_shuffle_join(spark):
         (1, "positive", 0.5, "llm", None), (2, "positive", 0.5, "inherited", None), (3, None, None, None, missing), (4, None, None, None, missing),
         (5, None, None, None, None), (6, "negative", 0.1, None, None), (7, "positive", 0.5, "inherited", None)]
     assert len(joins(out)) == 1 and "SortMergeJoin" in joins(out)[0]
+
+
+def test_fences_are_cut_as_their_pattern_did(spark):
+    def by_pattern(content):
+        text = F.regexp_replace(F.coalesce(content, F.lit("")), "(?U)^\\s+|\\s+$", "")
+        return F.when(text.rlike("(?is)^```(?:json)?\\s*.*?\\s*```$"), F.regexp_extract(text, "(?is)^```(?:json)?\\s*(.*?)\\s*```$", 1)).otherwise(text)
+
+    texts = [None, "", " {} ", "```json {} ```", "```JSON\n{\n}\n```\n", "```{}```", "```js```", "``````", "`````", "```json```", "```json", "\u3000```\xa0x\xa0```\x85", "a```{}```", "```\n```json x``` ```"]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select(sentiment.strip_fence(F.col("c")).alias("a"), by_pattern(F.col("c")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_answers_are_parsed_once(spark):
+    answers = spark.createDataFrame([('```json {"1": [{"term": "a", "score": 3}, {"term": "b"}, {"term": "c", "entity_type": "Person"}], "2": [{"term": "d"}, "{bad"], "7": [{"term": "e"}]} ```',)], "content string")
+    requested = spark.createDataFrame([(1,), (2,), (3,)], "article_id long")
+    own = requested.selectExpr("article_id", "1 AS rank", "'own' AS term", "1.0D AS score", "'word' AS type", "'tfidf' AS source")
+    out = features.merge_keywords(features.parse_keyword_answers(answers, requested), own)
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, 1, "a", 1.0, "concept", "neutral", "llm"), (1, 2, "b", 0.5, "concept", "neutral", "llm"), (1, 3, "c", 0.5, "person", "neutral", "llm"),
+        (2, 1, "own", 1.0, "word", "neutral", "tfidf"), (3, 1, "own", 1.0, "word", "neutral", "tfidf")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(MapType") == 1 and "get_json_object" not in plan, plan
