@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from murmur.config import METRICS, HeatConfig
 from murmur.functions.ranking import percentile_table, top_overall, top_per_group, with_percentile
+from murmur.session import cut_lineage
 
 HOUR_US = 3_600_000_000
 
@@ -84,6 +85,24 @@ def engagement_percentiles(articles: DataFrame, population: Sequence[str] = ())
     return with_percentile(long, "value", [*population, "platform", "metric"])
 
 
+def _own_signal(articles: DataFrame, population: Sequence[str]) -> DataFrame:
+    """Weighted mean percentile of all articles of an event that is ranked within itself, `(event_id, _own)`.
+
+    An article's weight times the mean of its scores is the sum of its scores, each with its share of the weight. So
+    shares are summed with the value counts and meet their percentile there; no score travels back to its article."""
+    present = sum((F.col(m).isNotNull().cast("int") for m in METRICS), F.lit(0))
+    of_id = W.partitionBy("event_id", "article_id")  # the rows of one article id
+    keys = list(dict.fromkeys(["event_id", *population, "platform"]))
+    rows = (
+        articles.select(*dict.fromkeys([*keys, "article_id", "_weight"]), *[F.when(F.col(m).isNotNull(), F.log1p(F.greatest(F.lit(0.0), F.col(m).cast("double")))).alias(m) for m in METRICS])
+        .where("event_id is not null and article_id is not null").withColumn("platform", F.coalesce("platform", F.lit("")))
+        .withColumn("_share", F.try_divide(F.sum("_weight").over(of_id), F.sum(present).over(of_id)))
+    )
+    long = rows.select(*keys, "_share", *METRICS).unpivot([*keys, "_share"], list(METRICS), "metric", "value").where("value is not null")
+    table = percentile_table(long, "value", [*keys, "metric"], total="_share")
+    return table.groupBy("event_id").agg(F.sum(F.col("score") * F.col("_share")).alias("_own"))
+
+
 def report_statistics(articles: DataFrame, calculated_at: Column, cfg: HeatConfig = HeatConfig()) -> DataFrame:
     """Independent report counts, growth, platforms and latest activity of every event."""
     age = hours_between(calculated_at, effective_time())
@@ -119,10 +138,6 @@ def spread_raw(
     """Decayed, weighted engagement of all articles plus the mean hot-list score; null when neither exists.
 
     The sum is rounded to 9 digits so that the order of summation cannot split ties."""
-    signal = (
-        engagement_percentiles(articles, population).groupBy("event_id", "article_id")
-        .agg(F.avg("score").alias("_signal"))
-    )
     # the age is measured on the article row once; duplicates of an id inside an event stay apart rows
     age = hours_between(calculated_at, F.coalesce(effective_time(), calculated_at))
     weight = (
@@ -130,11 +145,18 @@ def spread_raw(
         * F.greatest(F.lit(0.0), F.coalesce(F.col("duplicate_weight").cast("double"), F.lit(0.0)))
         * F.greatest(F.lit(0.0), F.coalesce(F.col("spam_weight").cast("double"), F.lit(0.0)))
     )
-    own = (
-        articles.select("event_id", "article_id", weight.alias("_weight"))
-        .join(signal, ["event_id", "article_id"])
-        .groupBy("event_id").agg(F.sum(F.col("_signal") * F.col("_weight")).alias("_own"))
-    )
+    if "event_id" in population:
+        own = _own_signal(articles.withColumn("_weight", weight), population)
+    else:
+        signal = (
+            engagement_percentiles(articles, population).groupBy("event_id", "article_id")
+            .agg(F.avg("score").alias("_signal"))
+        )
+        own = (
+            articles.select("event_id", "article_id", weight.alias("_weight"))
+            .join(signal, ["event_id", "article_id"])
+            .groupBy("event_id").agg(F.sum(F.col("_signal") * F.col("_weight")).alias("_own"))
+        )
     listed = ranks.groupBy("event_id").agg(
         F.avg(F.greatest(F.lit(0.0), 100.0 - (F.greatest(F.lit(1), F.col("hot_rank")) - 1) * 5.0)).alias("_listed"),
         F.count("*").alias("hotlist_count"),
@@ -219,10 +241,10 @@ def event_heat(
     slices = [c for c in population if c != "event_id"]
     if slices:
         joined = joined.join(articles.select("event_id", *slices).distinct(), "event_id")
-    # one row per event, read by the ranking pass and by the join back: kept instead of scanning articles again
-    joined = joined.persist()
+    # one row per event, read by the ranking pass and by the join back: written once instead of scanning articles again
+    joined = cut_lineage(joined)
     scored = heat_scores(joined, calculated_at, cfg, population)
-    scored = scored.withColumn("eligible_as_hot", eligibility(calculated_at, cfg)).persist()
+    scored = cut_lineage(scored.withColumn("eligible_as_hot", eligibility(calculated_at, cfg)))
     return rank_hot(scored, cfg, population)
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from murmur.operators import features, sentiment
+from murmur.functions import ranking
+from murmur.operators import features, heat, sentiment
 
 
 def joins(df) -> list[str]:
@@ -43,3 +44,27 @@ def test_answers_are_parsed_once(spark):
         (2, 1, "own", 1.0, "word", "neutral", "tfidf"), (3, 1, "own", 1.0, "word", "neutral", "tfidf")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(MapType") == 1 and "get_json_object" not in plan, plan
+
+
+def test_small_and_large_groups_rank_alike(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 5 = 0 THEN 'a' WHEN id % 501 = 1 THEN NULL ELSE 'b' END AS g", "CAST(id * 7 % 613 AS DOUBLE) AS v", "id % 3 AS w")
+    found = {}
+    for limit in (0, 1000, 10_000):
+        monkeypatch.setattr(ranking, "SMALL_GROUP", limit)
+        found[limit] = sorted(tuple(r) for r in ranking.rank_table(df.where("g is not null"), "v", ["g"], "w").select("g", "_value", "_cnt", "_n", "_start", "w").collect())
+    assert found[0] == found[1000] == found[10_000] and len(found[0]) > 1000
+
+
+def test_scores_of_an_event_do_not_travel_back_to_articles(spark):
+    rows = [(e, a if a else 1, p, "2024-01-30 00:00:00", a % 4 != 0, None if a % 3 == 0 else a * e, a % 2, None, a % 5 if e > 1 else None, 0.5, 1.0)
+            for e in (1, 2) for a in range(12) for p in "xy"]
+    names = "event_id long, article_id long, platform string, t string, is_representative boolean, comments_count long, reposts_count long, likes_count long, views_count long, duplicate_weight double, spam_weight double"
+    articles = spark.createDataFrame(rows, names).selectExpr("*", "CAST(t AS TIMESTAMP) AS publish_time", "CAST(NULL AS TIMESTAMP) AS observed_at")
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    signal = heat.engagement_percentiles(articles, ["event_id"]).groupBy("event_id", "article_id").agg(F.avg("score").alias("s"))
+    weight = heat.freshness(F.lit(24.0), 24) / 100 * 0.5
+    want = {r.event_id: r.o for r in articles.join(signal, ["event_id", "article_id"]).groupBy("event_id").agg(F.round(F.sum(F.col("s") * weight), 6).alias("o")).collect()}
+    out = heat.spread_raw(articles, spark.createDataFrame([], "event_id long, hot_rank int"), at, population=["event_id"])
+    assert {r.event_id: round(r.spread_raw, 6) for r in out.collect()} == want and len(want) == 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join Inner" in line and "article_id" in line], plan
