@@ -68,3 +68,11 @@ def test_scores_of_an_event_do_not_travel_back_to_articles(spark):
     assert {r.event_id: round(r.spread_raw, 6) for r in out.collect()} == want and len(want) == 2
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Join Inner" in line and "article_id" in line], plan
+
+
+def test_scores_do_not_count_n_grams_again(spark):
+    docs = spark.createDataFrame([(1, ["a"], ["b", "a"]), (2, ["b"], ["c"])], "article_id long, title_tokens array<string>, body_tokens array<string>")
+    out = features.tfidf(features.weighted_counts(docs, features.vocabulary(docs, 2)), 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "InMemoryTableScan" not in plan, plan
+    assert out.count() == 5  # bigrams across the seam of title and body have no weight
