@@ -440,8 +440,9 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit vector; null for a zero vector, which the caller reports."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size))
+    # the norm is an argument: written inside the inner function it would be computed anew for every component
+    unit = lambda size: F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size))
+    return F.get(F.transform(F.array(norm(v)), unit), F.lit(0))
 
 
 def centroids(rows: DataFrame, by: list[str], vector: str = "vector", unit: bool = True) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from murmur.config import AggregationConfig
-from murmur.operators import clustering
+from murmur.operators import clustering, events
+from murmur.operators.features import norm, normalized
 
 T0 = dt.datetime(2026, 7, 11, 12)
 SCHEMA = ("run_id long, article_id long, effective_time timestamp, topic_category string, keywords array<string>, entities map<string,array<string>>, "
@@ -115,3 +117,43 @@ def test_long_lists_make_no_product(spark, monkeypatch):
     best = {r.article_id: r.cluster_index for r in got.where("rank = 1").collect()}
     assert all(k == v for k, v in best.items())
     assert got.where(F.col("rank") == 2).select("cluster_index").distinct().count() == 2
+
+
+def folds(df):
+    """How often the plan of `df` adds up an array: every dot product, norm and mean is one."""
+    return len(re.findall(r"\baggregate\(", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_a_signal_is_computed_once_per_pair(spark, monkeypatch):
+    """A formula put in place of a column is computed once per use, and a norm inside a function of components once per
+    component: pairs hold two cosines and a mean, documents two norms, centres no more than a cosine and two norms a vector."""
+    assert folds(spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(normalized(F.col("v")).alias("unit"))) == 1
+    rows = [doc(i, i, [1.0, i / 10], "重庆" if i % 2 else "广东") for i in range(6)]
+    live, _ = clustering._with_evidence(spark.createDataFrame(rows, SCHEMA), AggregationConfig())
+    written, cut = [], clustering.cut_lineage
+    monkeypatch.setattr(clustering, "cut_lineage", lambda df: (written.append(folds(df)), cut(df))[1])
+    clustering._document_pairs(live, AggregationConfig())
+    assert sum(written) <= 5
+    placed = live.select("run_id", "at", F.lit(0).cast("long").alias("cluster"))
+    assert folds(clustering._against(live, placed, placed.withColumn("inside", F.lit(True)), AggregationConfig())) <= 8
+
+
+def test_entity_signals_of_folded_maps(spark):
+    rng = random.Random(3)
+    words = lambda: rng.choice([None, [], [" "], [None, "a"], *[rng.sample(["a", "A ", "b", " B", "c", "D", ""], rng.randint(1, 5)) for _ in range(6)]])
+    entities = lambda: rng.choice([None, {}, *[{k: words() for k in rng.sample(["location", "case", "organization", "topic", "mention"], rng.randint(1, 5))} for _ in range(8)]])
+    kind = "map<string,array<string>>"
+    pairs = spark.createDataFrame([(i, entities(), entities()) for i in range(400)], f"id long, a {kind}, b {kind}")
+    known = pairs.withColumns({"ka": events.known_entities(F.col("a")), "kb": events.known_entities(F.col("b"))})
+    got = events.with_entity_signals(known, "ka", "kb").select(
+        "entity", "clash", events.entity_similarity(F.col("a"), F.col("b")).alias("e"), events.conflicts(F.col("a"), F.col("b")).alias("c")).collect()
+    assert len(got) == 400 and all(r.entity == r.e and r.clash == r.c for r in got)
+    assert {len(r.c) for r in got} > {0, 1} and any(r.e for r in got)
+
+
+def test_cosine_with_known_norms(spark):
+    rows = [([1.0, 2.0], [2.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0]), ([], []), (None, [1.0]), ([1.0], None), (None, None)]
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(rows, "a array<double>, b array<double>").select(
+        events.cosine(a, b).alias("plain"), events.cosine(a, b, norm(a) * norm(b)).alias("known")).collect()
+    assert [r.plain for r in got] == [pytest.approx(0.8), 0.0] + [None] * 6 and all(r.plain == r.known for r in got)
