@@ -353,6 +353,26 @@ def test_scores_do_not_depend_on_the_filter_limit(docs, monkeypatch):
     assert exact != broadcast  # false positives are there to be kept
 
 
+def test_training_rows_by_condition_or_apart(docs, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BLOCK_GRAMS", 50)
+    monkeypatch.setattr(bloom_lm, "CHUNK_BYTES", 5_000)
+    def scores(training, most):
+        monkeypatch.setattr(bloom_lm, "MOST_FILTER_BYTES", most)
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 9)) for r in bloom_lm.score(docs, training, ["doc_id"]).collect())
+    broadcast = scores(docs.where("doc_id % 2 = 0"), 384 << 20)
+    assert broadcast == scores(F.expr("doc_id % 2 = 0"), 0) == scores(docs.where("doc_id % 2 = 0"), 0) == scores(F.expr("doc_id % 2 = 0"), 384 << 20)
+
+
+def test_a_gram_is_asked_once_for_all_texts_of_a_chunk(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = spark.createDataFrame([(i, True, text) for i in range(300)], "doc_id long, _learns boolean, _text string").coalesce(1)
+    chunks = bloom_lm._chunks(rows)
+    assert chunks.count() == 1
+    got = bloom_lm._answers(chunks, None, 3).collect()
+    assert sum(len(r.levels) for r in got) == 201 + 202  # pairs; words, the end and the start
+    assert all(set(r.levels) <= {9, 10} for r in got)  # 300 counts each, a false positive apart
+
+
 def test_scores_without_training(docs, none):
     assert {(r.base_score, r.score, r.n_known, r.train_tokens) for r in bloom_lm.score(docs, none, ["doc_id"]).collect()} == {(0.0, 0.0, 0, 0)}
     assert bloom_lm.score(none, docs, ["doc_id"]).collect() == []
