@@ -70,7 +70,9 @@ def _(t):
       CASE dominant_label WHEN 'positive' THEN '正面' WHEN 'negative' THEN '负面' ELSE '中立' END,
       positive_ratio * 100, negative_ratio * 100, neutral_ratio * 100, average_score) AS summary FROM s"""))
 def _(t):
-    rows = sentiment.event_summary(t.sentiment_item).withColumns({c: F.round(c, 6) for c in _ROUND})
+    # a small negative number stays negative: round() gives 0.0, the sentence has -0.000
+    signed = lambda c: F.when((F.col(c) < 0) & (F.round(c, 6) == 0), F.lit(-0.0)).otherwise(F.round(c, 6))
+    rows = sentiment.event_summary(t.sentiment_item).withColumns({c: signed(c) for c in _ROUND})
     return rows.select("event_id", sentiment.summary_sentence().alias("summary"))
 
 
