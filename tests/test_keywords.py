@@ -6,6 +6,7 @@ from compare import canonical, connect
 from pyspark.sql import functions as F
 
 from murmur.functions import text as tx
+from murmur.operators import features
 from murmur.plans import features as plan
 from murmur.plans.registry import QUERIES, Tables
 
@@ -79,3 +80,13 @@ def test_gram_counts_do_not_depend_on_the_runs_they_are_counted_in(monkeypatch):
                 totals[r["term"]] += complex(r["count"], r["df"])
         assert totals == {t: complex(sum(v[2] for k, v in want.items() if k[1] == t), sum(k[1] == t for k in want)) for t in {k[1] for k in want}}
     assert max(b.num_rows for b in cut(batch, 40)) < 50
+
+
+def test_text_rules_are_not_moved_to_the_scores(spark, capsys):
+    scores = spark.createDataFrame([(1, "word", 0.5), (2, "word", 0.7), (2, " two  words ", 0.1), (3, "1", 0.2)], "article_id long, term string, score double")
+    got = features._lexical(scores)
+    assert sorted((r.article_id, r.term, r.score) for r in got.collect()) == [(1, "word", 0.5), (2, "two words", 0.1), (2, "word", 0.7)]
+    capsys.readouterr()
+    got.explain("extended")
+    plan = capsys.readouterr().out.lower()
+    assert "regexp" not in plan and "rlike" not in plan
