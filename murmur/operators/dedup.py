@@ -115,9 +115,23 @@ def similar_titles(titles: DataFrame) -> DataFrame:
     """Pairs `(a, b)`, a < b, of title keys whose bigram overlap reaches the threshold.
 
     `titles(title_key, features)` holds one row per distinct feature set."""
-    keys = _part_keys(titles.where(F.size("features") > 0))
-    met = keys.select(F.col("title_key").alias("a"), "_sig").join(keys.select(F.col("title_key").alias("b"), "_sig"), "_sig").where("a < b")
-    return _overlapping(met.select("a", "b").distinct(), titles.select(F.col("title_key").alias("k"), "features")).select("a", "b")
+    return _title_pairs(titles).select("a", "b")
+
+
+def _title_pairs(titles: DataFrame) -> DataFrame:
+    """The pairs of similar_titles() with their overlap.
+
+    Titles that share two parts are many more than similar ones. Each key carries its set's size and the parity, bit by bit, of
+    its bigrams' hashes folded to 64 bits: two sets differ in at least as many bigrams as their parities do in bits, so pairs with
+    more bits than an overlap at the threshold allows are left out inside the join, before any pair is moved."""
+    titles = titles.where(F.size("features") > 0)
+    bit = lambda f: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(f, F.lit(1)), F.lit(64)).cast("int"))
+    parity = F.aggregate("features", F.lit(0).cast("long"), lambda x, f: x.bitwiseXOR(bit(f)))
+    keys = _part_keys(titles.select("title_key", "features", F.size("features").alias("n"), parity.alias("parity")))
+    side = lambda c: keys.select(F.col("title_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), "_sig")
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - TITLE_OVERLAP) / (1 + TITLE_OVERLAP)) + 1e-9
+    met = side("a").join(side("b"), "_sig").where((F.col("a") < F.col("b")) & (hamming(F.col("p_a"), F.col("p_b")) <= most))
+    return _overlapping(met.select("a", "b").distinct(), titles.select(F.col("title_key").alias("k"), "features"))
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,16 +192,19 @@ def duplicate_edges(prints: DataFrame) -> DataFrame:
         F.col("article_id") != F.col("id")
     ).select(F.col("article_id").alias("src"), F.col("id").alias("dst"), F.lit("simhash").alias("method"), F.lit(1.0).alias("score"))
 
-    # both tests at once: variants meet on their titles' keys and stay only if their hashes are near
+    # variants of one title meet on their hashes; of the titles only distinct ones meet, and their variants then
     variants = cut_lineage(variants)
-    keys = _part_keys(variants.select("id", "sim", "features"))
-    other = keys.select(F.col("id").alias("b"), F.col("sim").alias("sim_b"), "_sig")
-    distance = hamming(F.col("sim"), F.col("sim_b"))
-    near = keys.join(other, "_sig").where((F.col("id") < F.col("b")) & (distance <= MAX_DISTANCE))
-    near = near.select(F.col("id").alias("a"), "b", distance.alias("_d")).distinct()
-    edges = _overlapping(near, variants.select(F.col("id").alias("k"), "features")).select(
-        F.col("b").alias("src"), F.col("a").alias("dst"), F.lit("simhash").alias("method"),
-        F.round((F.col("_overlap") + 1 - F.col("_d") / 64) / 2, 4).alias("score"))
+    titles = variants.groupBy("title_key").agg(F.min("id").alias("t"), F.first("features").alias("features"))
+    named = variants.join(titles.select("title_key", "t"), "title_key").select("id", "sim", "t")
+    side = lambda c: named.select(F.col("t").alias("t" if c == "a" else "_t"), F.col("sim").alias(f"sim_{c}"), F.col("id").alias(f"id_{c}"))
+    same = similar_hashes(named.select("t", "sim"), ["t"]).join(side("a"), ["t", "sim_a"])
+    same = same.join(side("b").withColumnRenamed("_t", "t"), ["t", "sim_b"]).withColumn("_overlap", F.lit(1.0))
+    met = _title_pairs(titles.select(F.col("t").alias("title_key"), "features"))
+    met = met.join(side("a"), F.col("a") == F.col("t")).join(side("b"), (F.col("b") == F.col("_t")) & (hamming(F.col("sim_a"), F.col("sim_b")) <= MAX_DISTANCE))
+    needed = ["id_a", "id_b", "sim_a", "sim_b", "_overlap"]
+    edges = same.select(*needed).unionByName(met.select(*needed)).select(
+        F.greatest("id_a", "id_b").alias("src"), F.least("id_a", "id_b").alias("dst"), F.lit("simhash").alias("method"),
+        F.round((F.col("_overlap") + 1 - hamming(F.col("sim_a"), F.col("sim_b")) / 64) / 2, 4).alias("score"))
     return star.unionByName(inside).unionByName(edges)
 
 
@@ -207,13 +224,10 @@ def pending_reviews(prints: DataFrame) -> DataFrame:
     )
     long_titles = prints.where(F.col("title_length") >= SHORT_TITLE)
     title = long_titles.groupBy("title_key").agg(F.min("article_id").alias("first"), F.first("features").alias("features"))
-    pairs = similar_titles(title)
-    earliest_title = (
-        pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .unionByName(title.select(F.col("title_key").alias("a"), F.col("title_key").alias("b")))
-        .join(title.select(F.col("title_key").alias("b"), "first"), "b")
-        .groupBy(F.col("a").alias("title_key")).agg(F.min("first").alias("_title"))
-    )
+    # a title is named by its first id, so the smaller name of a pair is what an earlier title gives
+    pairs = similar_titles(title.select(F.col("first").alias("title_key"), "features"))
+    earlier = pairs.groupBy(F.col("b").alias("first")).agg(F.min("a").alias("_a"))
+    earliest_title = title.select("title_key", "first").join(earlier, "first", "left").select("title_key", F.least("first", F.coalesce("_a", "first")).alias("_title"))
     joined = prints.select("article_id", "sim", "title_key", "title_length").join(earliest_near, "sim").join(
         earliest_title, "title_key", "left"
     )
